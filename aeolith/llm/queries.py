@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm import decontaminate, line_dedup, mixing, secrets
+from aeolith.llm import decontaminate, langid, line_dedup, mixing, secrets, toxicity
 from aeolith.llm.common import table
 
 
@@ -18,6 +18,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def bucket(modulo: int) -> Column:
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulo
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs.where(bucket(4) != 2)))
+    return found.select("doc_id", F.coalesce(bucket(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.fit(docs.where(bucket(3) != 1), labels.where(bucket(3) != 1))
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", F.coalesce(bucket(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("source")
 
@@ -26,5 +44,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op7_source_mixing, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_language_id, op7_source_mixing, op8_decontamination, op10_toxicity)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
