@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm import decontaminate, langid, line_dedup, lm, mixing, secrets, toxicity
+from aeolith.llm import decontaminate, hnsw, langid, line_dedup, lm, mixing, secrets, toxicity
 from aeolith.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (bucket(7) != 2).alias("train"))
     found = lm.score(docs)
@@ -50,5 +54,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_language_id, op6_lm_scores, op7_source_mixing, op8_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_language_id, op5_nearest_neighbours, op6_lm_scores, op7_source_mixing, op8_decontamination, op10_toxicity)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
