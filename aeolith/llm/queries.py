@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm import decontaminate, hnsw, langid, line_dedup, lm, mixing, secrets, toxicity
+from aeolith.llm import decontaminate, hnsw, jaccard, langid, line_dedup, lm, mixing, secrets, toxicity
 from aeolith.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -54,5 +58,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_language_id, op5_nearest_neighbours, op6_lm_scores, op7_source_mixing, op8_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_secret_scan, op4_language_id, op5_nearest_neighbours, op6_lm_scores, op7_source_mixing, op8_decontamination, op10_toxicity)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
