@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm import decontaminate, hnsw, jaccard, langid, line_dedup, lm, mixing, secrets, toxicity
+from aeolith.llm import decontaminate, hnsw, jaccard, langid, line_dedup, lm, mixing, pii, secrets, toxicity
 from aeolith.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.fit()))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.fit(docs.where(bucket(3) != 1), labels.where(bucket(3) != 1))
@@ -58,5 +62,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_secret_scan, op4_language_id, op5_nearest_neighbours, op6_lm_scores, op7_source_mixing, op8_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_secret_scan, op4_language_id, op5_nearest_neighbours, op6_lm_scores, op7_source_mixing, op8_decontamination, op9_personal_data, op10_toxicity)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
