@@ -96,6 +96,8 @@ def build(x: np.ndarray) -> list[np.ndarray]:
             # the other way round; a full node keeps those that spread best
             source, slot = np.nonzero(links[node] >= 0)
             target, source = links[node][source, slot], node[source]
+            if not len(target):
+                continue
             order = np.argsort(target, kind="stable")
             target, source = target[order], source[order]
             first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])

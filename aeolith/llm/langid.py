@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Labelled rows a language, those with the least hash of doc_id; of each at most PIECE characters from its start; bytes of a dictionary.
 SAMPLE_ROWS, PIECE, DICT_BYTES = 300, 2000, 128 * 1024
 LEVEL = 3
+#: Texts up to so many bytes, of which a frame tells little, are encoded again in finer ways, and the sizes added up.
+SHORT, FINER = 600, (19, 22)
 #: The second smallest frame must be larger by this share and by this many bytes.
-MIN_MARGIN, MIN_BYTES = 0.002, 1
+MIN_MARGIN, MIN_BYTES = 0.001, 1
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -53,15 +55,22 @@ class Classifier:
     def __init__(self, dicts: dict[str, bytes], level: int = LEVEL):
         import zstandard as zstd
 
-        self.langs, self.tools = list(dicts), []
-        for data in dicts.values():
+        def tool(data: bytes, level: int) -> zstd.ZstdCompressor:
             d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            self.tools.append(zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False))
+            return zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False)
+
+        self.langs = list(dicts)
+        self.tools = [tool(data, level) for data in dicts.values()]
+        self.finer = [[tool(data, k) for k in FINER] for data in dicts.values()]
 
     def sizes(self, text: str) -> list[int]:
         data = plain(text)
-        return [len(t.compress(data)) for t in self.tools]
+        sizes = [len(t.compress(data)) for t in self.tools]
+        if len(data) <= SHORT:
+            data = (b" " + data) * 4  # a frame that saves too little stays raw and tells nothing; repeats always save
+            sizes = [s + sum(len(t.compress(data)) for t in own) for s, own in zip(sizes, self.finer, strict=True)]
+        return sizes
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (share of its code among all languages' codes), and whether the margin is too narrow."""
