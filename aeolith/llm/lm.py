@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from aeolith.llm.common import buffers, chunks, mixed, small_batches, stored, words
 
 #: Words numbered (16 bytes each where broadcast) and, among them, those whose pairs are counted in a dense table.
-VOCABULARY, HEAD = 1 << 20, 1024
+VOCABULARY, HEAD = 1 << 18, 1024
 #: Contexts are put in buckets by the binary logarithm of their frequency.
 BUCKETS, BINS = 40, 400
 END = mixed(np.array([0xE4D], np.uint64))[0]
@@ -240,6 +240,11 @@ def _runs(rows: list) -> tuple[np.ndarray, ...]:
     return (pair[first] >> np.uint64(21)).astype(np.int64), (pair[first] & np.uint64((1 << 21) - 1)).astype(np.int64), n, size, where, (key & np.uint64(0xFFFF)).astype(np.int64)
 
 
+def _deal(block: int) -> int:
+    """Evenly, whatever steps the numbers of blocks take."""
+    return (block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
+
+
 def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOCABULARY, head: int = HEAD) -> DataFrame:
     """docs (keys, text, train) to keys, train, n_tokens, n_known, train_tokens, base_score, score, from whole texts.
 
@@ -282,7 +287,7 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
     def add(x: np.ndarray, y: bytes) -> np.ndarray:
         return x + np.frombuffer(zlib.decompress(y), np.float32)
 
-    summed = blocks.mapPartitions(far).combineByKey(lambda y: np.frombuffer(zlib.decompress(y), np.float32).astype(np.float64), add, np.add, parts)
+    summed = blocks.mapPartitions(far).combineByKey(lambda y: np.frombuffer(zlib.decompress(y), np.float32).astype(np.float64), add, np.add, parts, _deal)
     pairs = spark.createDataFrame(summed.flatMap(lambda x: [(x[0] + i, float(s)) for i, s in enumerate(x[1].tolist()) if s]), "rid long, far double")
 
     names = [*keys, "train", "rid", "n_tokens", "n_known", "base", "near", "rare"]
