@@ -229,15 +229,17 @@ def _runs(rows: list) -> tuple[np.ndarray, ...]:
     """All occurrences of a part, by pair: context, word, the pair's training count, whether in training, number of the block, row."""
     got = [_unpack(r[2]) for r in rows]
     key = np.concatenate(got)
-    where = np.repeat(np.arange(len(got)), [len(x) for x in got])
+    where = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in got])
     train = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[(x & np.uint64(0xFFFF)).astype(np.int64)] for r, x in zip(rows, got, strict=True)])
+    del got
     order = np.argsort(key >> np.uint64(16), kind="stable")
     key, where, train = key[order], where[order], train[order]
+    del order
     pair = key >> np.uint64(16)
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     n = np.add.reduceat(train.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(pair)])
-    return (pair[first] >> np.uint64(21)).astype(np.int64), (pair[first] & np.uint64((1 << 21) - 1)).astype(np.int64), n, size, where, (key & np.uint64(0xFFFF)).astype(np.int64)
+    return (pair[first] >> np.uint64(21)).astype(np.int64), (pair[first] & np.uint64((1 << 21) - 1)).astype(np.int64), n, size, where, (key & np.uint64(0xFFFF)).astype(np.int32)
 
 
 def _deal(block: int) -> int:
@@ -260,7 +262,7 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
     shared = spark.sparkContext.broadcast(v)
     model = Model(v, head_pairs(docs, shared, head))
 
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # a part is held in memory, some ten times over
     blocks = packed(docs, shared, parts).rdd.map(lambda r: (r[0], (r[0], r[1], bytes(r[2]), bytes(r[3])))).partitionBy(parts, lambda p: p).values()
     bare = spark.sparkContext.broadcast(model)
 
@@ -280,7 +282,7 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
         if rows:
             before, ids, n, size, where, row = _runs(rows)
             logs = np.repeat(final.value.logs(before, ids, n.astype(np.float64)), size)
-            sums = np.bincount(where * BLOCK_DOCS + row, logs, len(rows) * BLOCK_DOCS).reshape(-1, BLOCK_DOCS)
+            sums = np.bincount(where.astype(np.int64) * BLOCK_DOCS + row, logs, len(rows) * BLOCK_DOCS).reshape(-1, BLOCK_DOCS)
             for r, own in zip(rows, sums, strict=True):
                 yield r[1], zlib.compress(own[: len(r[3]) * 8].astype(np.float32).tobytes(), 1)
 
