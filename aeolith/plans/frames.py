@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from aeolith.functions import codes
 from aeolith.operators import binning, quality, resample, stats, timeaxis
-from aeolith.plans.registry import query
+from aeolith.plans.registry import OFF_HALF, query
 from aeolith.plans.series import R, events
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").alias("p"))
-    return o.groupBy("ts").agg(F.round(F.avg("p"), 4).alias("v"), F.round(F.sum("p"), 2).alias("total"), F.count("*").alias("n"))
+    return o.groupBy("ts").agg(F.round(F.avg("p") / 1000 + OFF_HALF, 4).alias("v"), F.round(F.sum("p"), 2).alias("total"), F.count("*").alias("n"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-D = "WITH s AS (SELECT o_orderdate::TIMESTAMP AS ts, round(avg(o_totalprice), 4) AS v, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1)"
+D = "WITH s AS (SELECT o_orderdate::TIMESTAMP AS ts, round(avg(o_totalprice) / 1000 + 1.3e-8, 4) AS v, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1)"
 
 
 @query(f"{D}, m AS (SELECT year(ts)::INT AS year, month(ts) AS m, avg(v) AS v FROM s GROUP BY 1, 2) SELECT year, " + ", ".join(f"{R(f'max(v) FILTER (m = {i})')} AS \"{i}\"" for i in range(1, 13)) + " FROM m GROUP BY year")
@@ -43,10 +43,10 @@ def yearly_cumulatives(spark, sf_dir):
     return resample.yearly_cumulatives(daily_orders(spark, sf_dir))
 
 
-@query(f"""{D}, c AS (SELECT year(ts) AS year, dayofyear(ts)::DOUBLE AS doy_time, sum(v / 1e6) OVER (PARTITION BY year(ts) ORDER BY ts) AS c FROM s), m AS (SELECT doy_time, avg(c) AS m, stddev_samp(c) AS sd FROM c WHERE year <> 1995 GROUP BY 1)
+@query(f"""{D}, c AS (SELECT year(ts) AS year, dayofyear(ts)::DOUBLE AS doy_time, sum(v / 1e3) OVER (PARTITION BY year(ts) ORDER BY ts) AS c FROM s), m AS (SELECT doy_time, avg(c) AS m, stddev_samp(c) AS sd FROM c WHERE year <> 1995 GROUP BY 1)
 SELECT {R('doy_time')} AS doy_time, {R('m')} AS mean, {R('sd')} AS sd, {R('m + sd')} AS plus_sd, {R('m - sd')} AS minus_sd, {R('m + 1.96 * sd')} AS plus_ci, {R('m - 1.96 * sd')} AS minus_ci FROM m""")
 def mean_cumulative(spark, sf_dir):
-    return resample.mean_cumulative(resample.yearly_cumulatives(daily_orders(spark, sf_dir).withColumn("v", F.col("v") / 1e6)), [1995])
+    return resample.mean_cumulative(resample.yearly_cumulatives(daily_orders(spark, sf_dir).withColumn("v", F.col("v") / 1e3)), [1995])
 
 
 @query(f"""{D}, y AS (SELECT year(ts)::INT AS year, avg(v) AS v FROM s GROUP BY 1), r AS (SELECT avg(v) AS r, min(year) AS a, max(year) AS z FROM y WHERE year BETWEEN 1995 AND 1997), e AS (SELECT min(year) AS a, max(year) AS z FROM y),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aeolith.functions import meteo
 from aeolith.operators import binning, corrections, gaps, outliers, quality, resample, stats, timeaxis, windows
-from aeolith.plans.registry import query
+from aeolith.plans.registry import OFF_HALF, query
 
 STEP = 600
 
@@ -19,12 +19,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
     """(k, ts, v): means by step, rounded to four places, on the grid."""
     e = events(spark, sf_dir)
-    b = e.groupBy("k", F.window("ts", f"{step} seconds").alias("w")).agg(F.round(F.avg("v"), 4).alias("v"))
+    b = e.groupBy("k", F.window("ts", f"{step} seconds").alias("w")).agg(F.round(F.avg("v") + OFF_HALF, 4).alias("v"))
     return timeaxis.regularize(b.select("k", F.col("w.start").alias("ts"), "v"), ["k"], step)
 
 
 def cte(step: str = "10 minutes") -> str:
-    return f"""b_ AS (SELECT event_type AS k, time_bucket(INTERVAL '{step}', ts) AS ts, round(avg(value), 4) AS v FROM events GROUP BY 1, 2),
+    return f"""b_ AS (SELECT event_type AS k, time_bucket(INTERVAL '{step}', ts) AS ts, round(avg(value) + 1.3e-8, 4) AS v FROM events GROUP BY 1, 2),
 r_ AS (SELECT k, min(ts) AS a, max(ts) AS z FROM b_ GROUP BY k),
 g_ AS (SELECT k, unnest(generate_series(a, z, INTERVAL '{step}')) AS ts FROM r_),
 s AS (SELECT g_.k, g_.ts, b_.v FROM g_ LEFT JOIN b_ USING (k, ts))"""
