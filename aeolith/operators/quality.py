@@ -51,3 +51,15 @@ def restrict(flag: Column, ts: Column, ranges: list) -> Column:
     """The flag inside the ranges, null elsewhere."""
     inside = reduce(lambda a, b: a | b, [ts.between(F.lit(a).cast("timestamp_ntz"), F.lit(z).cast("timestamp_ntz")) for a, z in ranges])
     return F.when(inside, flag)
+
+
+def screening_report(df, value: str, flags: list[str], keys: list[str]):
+    """(keys, test, position, newly_rejected, retained): test by test in order, which values it is the first to reject and how many are left."""
+    gone = F.lit(False)
+    parts = []
+    for i, f in enumerate(flags):
+        bad = F.coalesce(F.col(f) == 2, F.lit(False)) & F.col(value).isNotNull()
+        new = F.count_if(bad & ~gone)
+        gone = gone | bad
+        parts.append(F.struct(F.lit(f).alias("test"), F.lit(i).alias("position"), new.alias("newly_rejected"), F.count_if(~gone & F.col(value).isNotNull()).alias("retained")))
+    return df.groupBy(*keys).agg(F.array(*parts).alias("p")).select(*keys, F.inline("p"))

@@ -123,3 +123,19 @@ def rank_drivers(df: DataFrame, keys: list[str], target: str, features: list[str
     long = d.groupBy(*keys).agg(F.array(*r).alias("a")).select(*keys, F.inline("a")).where((F.col("n") >= least) & F.col("r").isNotNull())
     best = Window.partitionBy(*keys, "feature").orderBy(F.desc(F.round(F.abs("r"), 9)), F.abs("lag"), "lag")
     return long.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
+
+
+def overview(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row: rows, columns, cells, missing cells and their share, repeated stamps, repeated rows, first and last stamp."""
+    n, cells = F.count("*"), len(df.columns)
+    missing = sum((F.count("*") - F.count(f"`{c}`") for c in df.columns[1:]), F.count("*") - F.count(f"`{df.columns[0]}`"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("_all", whole).agg(
+        n.alias("rows"), F.lit(cells).alias("columns"), (n * cells).alias("cells"), missing.alias("missing_cells"), F.try_divide(missing * 100, n * cells).alias("missing_percent"),
+        (F.count(ts) - F.countDistinct(ts)).alias("repeated_stamps"), (n - F.countDistinct("_all")).alias("repeated_rows"), F.min(ts).alias("start"), F.max(ts).alias("end"),
+    )
+
+
+def unique_values(df: DataFrame) -> DataFrame:
+    """Distinct values over all cells, as text."""
+    return df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("value")).distinct()

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeolith.functions import solar
-from aeolith.operators import decompose, fill, flux
+from aeolith.operators import decompose, fill, flux, quality, shifts, stats
 from aeolith.plans.frames import D, daily_orders
 from aeolith.plans.registry import query
-from aeolith.plans.series import R, cte, series
+from aeolith.plans.series import R, cte, events, series
 from aeolith.sources import files
 
 LAT, LON, OFFSET = 47.3, 7.7, 1.0
@@ -124,3 +124,41 @@ def flux_chain(spark, sf_dir):
     d = halfhours(spark, sf_dir).where("k = 'click'").withColumn("raw_flag", F.when(F.col("flux") > 150, 2).otherwise(0)).withColumn("storage", F.col("ta") / 20)
     c = flux.Chain(d, flux.Site(LAT, LON, OFFSET), ["k"], "flux").level0().level2([F.col("raw_flag")]).level31("storage").level32(96, 5.5).level33(0.1).level41().level42()
     return c.df.select("k", "ts", "sw_in_pot", "qcf_l2", "flux_l33", "flux_l41", "reco", "gpp")
+
+
+@query(f"""{H}, d AS (SELECT k, ts, greatest(0, 500 * sin(((hour(ts) + minute(ts) / 60) - 6) * pi() / 12)) AS p, 2 * pi() / 1440 * (hour(ts) * 60 + minute(ts)) AS a FROM h), m AS (SELECT *, lag(p, 2) OVER (PARTITION BY k ORDER BY ts) AS m FROM d),
+f AS (SELECT k, CAST(ts AS DATE) AS day, count(m) / count(*) AS share, sum(m) / sum(CASE WHEN m IS NOT NULL THEN p END) AS clear, atan2(sum(m * sin(a)), sum(m * cos(a))) - atan2(sum(p * sin(a)), sum(p * cos(a))) AS t FROM m GROUP BY 1, 2)
+SELECT k, day, {R('(t - 2 * pi() * round(t / (2 * pi()))) * 1440 / (2 * pi())')} AS minutes FROM f WHERE share >= 0.9 AND clear >= 0.6""")
+def clock_phase_shift(spark, sf_dir):
+    d = halfhours(spark, sf_dir).withColumn("m", F.lag("swin", 2).over(Window.partitionBy("k").orderBy("ts")))
+    return shifts.phase_shift(d, ["k"], "m", "swin")
+
+
+@query()
+def clock_lag_shift(spark, sf_dir):
+    d = halfhours(spark, sf_dir).withColumn("m", F.lag("swin", 2).over(Window.partitionBy("k").orderBy("ts")))
+    return shifts.lag_shift(d, ["k"], "m", "swin")
+
+
+@query()
+def wind_direction_offset(spark, sf_dir):
+    d = daily_orders(spark, sf_dir).withColumn("wd", F.pmod(F.col("total") / 100 + F.when(F.year("ts") == 1997, 20).otherwise(0), F.lit(360.0)))
+    return shifts.wind_direction_offset(d, "wd", [1995, 1996])
+
+
+@query("""SELECT count(*) AS rows, 6 AS columns, count(*) * 6 AS cells, 0::BIGINT AS missing_cells, (round(0.0, 6) + 0.0) AS missing_percent, count(*) - count(DISTINCT o_orderdate) AS repeated_stamps, 0::BIGINT AS repeated_rows, min(o_orderdate)::TIMESTAMP AS start, max(o_orderdate)::TIMESTAMP AS "end" FROM orders""")
+def frame_overview(spark, sf_dir):
+    return stats.overview(spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), "o_orderdate").withColumn("missing_percent", F.coalesce("missing_percent", F.lit(0.0)).cast("double"))
+
+
+@query("""SELECT DISTINCT unnest([o_orderstatus, o_orderpriority]) AS value FROM orders""")
+def unique_values(spark, sf_dir):
+    return stats.unique_values(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderpriority"))
+
+
+@query("""WITH e AS (SELECT event_type AS k, value AS v, value > 60 AS a, value < 5 OR value > 80 AS b, value BETWEEN 20 AND 30 AS c FROM events), t AS (SELECT k, 'a' AS test, 0 AS position, count_if(a)::BIGINT AS newly_rejected, count_if(NOT a)::BIGINT AS retained FROM e GROUP BY k
+UNION ALL SELECT k, 'b', 1, count_if(b AND NOT a)::BIGINT, count_if(NOT a AND NOT b)::BIGINT FROM e GROUP BY k UNION ALL SELECT k, 'c', 2, count_if(c AND NOT a AND NOT b)::BIGINT, count_if(NOT a AND NOT b AND NOT c)::BIGINT FROM e GROUP BY k) SELECT * FROM t""")
+def screening_report(spark, sf_dir):
+    v = F.col("v")
+    d = events(spark, sf_dir).withColumns({"a": F.when(v > 60, 2).otherwise(0), "b": F.when((v < 5) | (v > 80), 2).otherwise(0), "c": F.when(v.between(20, 30), 2).otherwise(0)})
+    return quality.screening_report(d, "v", ["a", "b", "c"], ["k"])
