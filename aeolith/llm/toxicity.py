@@ -20,16 +20,22 @@ from pyspark.sql import functions as F
 #: Examples a class, those with the least hash of doc_id; terms kept; lengths of words' beginnings.
 SAMPLE_ROWS, TERMS, STEMS = 1500, 8192, range(3, 9)
 MIN_DF, MIN_CHI2 = 4, 15.0
-K, BLOCK = 15, 64
+#: Neighbours, examples of a block, blocks scored before bounds are compared.
+K, BLOCK, FIRST_BLOCKS = 15, 64, 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, known: dict | None = None) -> Counter:
-    """Counts of words and of beginnings of longer words (``abc*``), and ``abc*+`` for one met twice or more; only those known, if given."""
+def terms(text: str | None, known: dict | None = None, heads: frozenset | None = None) -> Counter:
+    """Counts of words and of beginnings of longer words (``abc*``), and ``abc*+`` for one met twice or more.
+
+    known leaves out beginnings that aren't in it; heads are the first letters of those that are.
+    """
     words = Counter(_WORD.findall((text or "").lower()))
     stems: Counter = Counter()
     for w, n in words.items():
+        if heads is not None and w[: STEMS[0]] not in heads:
+            continue
         for k in STEMS:
             if len(w) <= k:
                 break
@@ -41,12 +47,12 @@ def terms(text: str | None, known: dict | None = None) -> Counter:
     return words
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple]:
-    """(doc_id, text, toxic) of at most rows examples a class from labelled (doc_id, text, toxic); a doc_id counts once, toxic if any of its rows is."""
-    known = labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple]:
+    """(doc_id, text, toxic) of at most rows examples a class; a doc_id counts once, toxic if any of its rows is. Only the picked ids, a bounded number, meet the texts."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows).select("doc_id", "toxic")
-    texts = labelled.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.text, r.toxic) for r in texts.collect())
 
 
@@ -71,6 +77,7 @@ class Index:
 
         told = sorted(((-chi2(t), t) for t, d in df.items() if MIN_DF <= d < n), key=lambda x: x) if 0 < pos < n else []
         self.vocabulary = {t: i for i, (_, t) in enumerate([x for x in told if -x[0] >= MIN_CHI2][:TERMS])}
+        self.heads = frozenset(t[: STEMS[0]] for t in self.vocabulary if "*" in t)
         self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in self.vocabulary])
         vectors = [self.vector(c) for c in counts]
         self.blocks = -(-n // BLOCK) if n else 0
@@ -111,12 +118,12 @@ class Index:
         part = np.concatenate([self.weights[self.first[i] : self.first[i + 1]] * x for i, x in zip(t.tolist(), w.tolist(), strict=True)])
         blocks = docs // BLOCK
         best, done = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for a in range(0, len(order), step):
-            now = order[a : a + step]
-            if bound[now[0]] <= 0 or len(done) == self.k and bound[now[0]] < done[-1]:
-                break
-            mine = np.isin(blocks, now) if a or len(order) > step else np.ones(len(docs), bool)
+        rest = order[bound[order] > 0]
+        while len(rest):
+            now, rest = (rest[:FIRST_BLOCKS], rest[FIRST_BLOCKS:]) if not len(done) else (rest, rest[:0])
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = chosen[blocks]
             sums = np.bincount(docs[mine], part[mine], len(self.ids))
             if leave >= 0:
                 sums[leave] = 0
@@ -124,6 +131,8 @@ class Index:
             best, done = np.r_[best, hit], np.r_[done, sums[hit]]
             top = np.lexsort((best, -done))[: self.k]
             best, done = best[top], done[top]
+            if len(done) == self.k:
+                rest = rest[bound[rest] >= done[-1]]
         return best, done
 
     def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -132,7 +141,7 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Calibrated score, and the doc_ids of the nearest examples as evidence."""
-        t, w = self.vector(terms(text, self.vocabulary))
+        t, w = self.vector(terms(text, self.vocabulary, self.heads))
         near, cosine = self.nearest(t, w) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         vote = self._vote(near, cosine)
         if vote < 0:
@@ -165,6 +174,5 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Index:
     """The index from docs (doc_id, text) and labels (doc_id, toxic); the share of toxic labels is taken over all of them."""
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic IN (0, 1)"), "doc_id")
     prior = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
-    return Index(sample(labelled, rows), prior or 0.0)
+    return Index(sample(docs, labels, rows), prior or 0.0)
