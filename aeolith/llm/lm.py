@@ -1,18 +1,19 @@
 """Language-model scores by deleted interpolation of bigrams, unigrams and a uniform share.
 
-Counts come from all training texts. Words are known by a 64-bit hash; the most frequent VOCABULARY words get
-numbers and the rest is one class of rare words, within which all are alike. Counts of rare words, for the base
-score, are joined by shuffle. Pairs of the HEAD most frequent words are counted in a dense table; every other pair
-is so rare that hashing spreads them evenly: their occurrences are packed into blocks of bytes, shuffled once, and
-read twice: to count and learn the mixture weights by expectation-maximisation, with each occurrence held out of its
-own counts, then to score.
+Counts come from all training texts, and each word, known by a 64-bit hash, has its own. The most frequent VOCABULARY
+words also get numbers, with which they are counted faster; the model doesn't depend on how many. Pairs of the HEAD
+most frequent words are counted in a dense table; every other pair is so rare that hashing spreads them evenly: their
+occurrences are packed into blocks of bytes, shuffled once, and read twice: to count and learn the mixture weights by
+expectation-maximisation, with each occurrence held out of its own counts, then to score. Occurrences with a word that
+has no number go by their first word, which gives its count and the pair's, and then, where the second has none, by
+that, which gives the other count. A word that is in no training text but very common in others goes to one task.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,22 @@ VOCABULARY, HEAD = 1 << 18, 1024
 #: Contexts are put in buckets by the binary logarithm of their frequency.
 BUCKETS, BINS = 40, 400
 END = mixed(np.array([0xE4D], np.uint64))[0]
+SALT = np.uint64(0xA5A5)
 #: Documents of a packed block, below 2**16.
 BLOCK_DOCS = 2000
+#: Bytes of text hashed at once, which take some forty times as many.
+CHUNK = 1 << 19
+
+
+def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, after which a task gives the memory it doesn't use back: workers stay for the tasks to come, beside others."""
+
+    def run(rows: Iterator) -> Iterator:
+        yield from f(rows)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return run
 
 
 def _tokens(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,57 +65,59 @@ def unigrams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, data = buffers(b.column(0))
-            for i, j in chunks(at):
+            for i, j in chunks(at, CHUNK):
                 u, n = _counted(_tokens(at[i : j + 1], data)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return docs.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where("train").select("text").mapInArrow(trimmed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Numbered words, most frequent first, with their counts; N tokens and V types of the training texts."""
+    """Numbered words, most frequent first, with their counts; N tokens and V types of the training texts.
 
-    def __init__(self, word: np.ndarray, n: np.ndarray, tokens: int, types: int, limit: int = VOCABULARY, head: int = HEAD):
+    spectrum has the counts that occur among all types and how many types have each; without, from the numbered words.
+    """
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, tokens: int, types: int, limit: int = VOCABULARY, head: int = HEAD, spectrum: tuple[np.ndarray, np.ndarray] | None = None):
         self.rare, self.head = np.int64(limit), head
         order = np.lexsort((word, -n))[:limit]
         word, self.n = word[order].view(np.uint64), n[order].astype(np.float64)
         self.tokens, self.types = tokens, types
         by_hash = np.argsort(word)
         self.sorted, self.number = word[by_hash], by_hash.astype(np.int64)
-        self.rare_tokens, self.rare_types = tokens - float(self.n.sum()), max(1, types - len(word))
         self.counts = np.r_[self.n, np.zeros(limit + 1 - len(word))]
-        self.counts[limit] = self.rare_tokens
+        self.spectrum = spectrum or np.unique(self.n, return_counts=True)
+        #: A word without a number is in no training text.
+        self.complete = types <= len(word)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words; those not numbered, known or not, are rare."""
+        """Numbers of words; those not numbered, known or not, have one of their own, which has no count."""
         if not len(self.sorted):
             return np.full(len(hashes), self.rare)
         u, back = np.unique(hashes, return_inverse=True)
         i = np.minimum(np.searchsorted(self.sorted, u), len(self.sorted) - 1)
         return np.where(self.sorted[i] == u, self.number[i], self.rare)[back]
 
-    def share(self, ids: np.ndarray) -> np.ndarray:
-        """A rare word's share of its class: one more than the rare types, so that a new word has its place."""
-        return np.where(ids == self.rare, 1.0 / (self.rare_types + 1), 1.0)
-
 
-def vocabulary(counts: DataFrame, limit: int = VOCABULARY, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
-    """The numbered words, and (word, n) of the others."""
-    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(limit) if types > limit else counts
+def vocabulary(counts: DataFrame, limit: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
+    """The numbered words: the end, which every text has, and the most frequent others."""
+    got = counts.groupBy("n").agg(F.count("*").alias("m")).orderBy("n").toArrow()
+    n, m = got["n"].to_numpy(), got["m"].to_numpy()
+    types = int(m.sum())
+    top = counts.orderBy(F.col("word") != int(END.view(np.int64)), F.desc("n"), "word").limit(limit) if types > limit else counts
     got = top.toArrow()
-    v = Vocabulary(got["word"].to_numpy(), got["n"].to_numpy(), int(tokens), int(types), limit, head)
-    cut = (int(v.n[-1]), int(v.sorted.view(np.int64)[v.number.argmax()])) if len(v.n) else (0, 0)
-    rest = counts.where((F.col("n") < cut[0]) | ((F.col("n") == cut[0]) & (F.col("word") > cut[1])))
-    return v, rest
+    return Vocabulary(got["word"].to_numpy(), got["n"].to_numpy(), int((n * m).sum()), types, limit, head, (n.astype(np.float64), m))
 
 
-def _pairs(ids: np.ndarray, doc: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of all tokens; the first of a text follows an end."""
-    end = v.ids(np.array([END], np.uint64))[0]
-    before = np.r_[end, ids[:-1]]
+def _before(x: np.ndarray, doc: np.ndarray, end: np.generic) -> np.ndarray:
+    """Contexts of all tokens x, hashes or numbers; the first of a text follows an end."""
+    before = np.r_[end, x[:-1]]
     before[np.r_[True, doc[1:] != doc[:-1]]] = end
-    return before, ids
+    return before
+
+
+def _pairs(ids: np.ndarray, doc: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    return _before(ids, doc, v.ids(np.array([END], np.uint64))[0]), ids
 
 
 class Model:
@@ -110,7 +127,7 @@ class Model:
         self.v, self.head = v, head
         # unigram against uniform: each type's occurrences with one of them held out
         self.uniform = 1.0 / (v.types + 1)
-        types, n = (np.r_[v.n, v.rare_tokens / v.rare_types], np.r_[v.n, v.rare_tokens]) if v.tokens else (np.zeros(1), np.zeros(1))
+        types, n = (v.spectrum[0], v.spectrum[0] * v.spectrum[1]) if v.tokens else (np.zeros(1), np.zeros(1))
         held = np.maximum(types - 1, 0) / max(v.tokens - 1, 1)
         self.mu = 0.5
         for _ in range(50):
@@ -119,24 +136,25 @@ class Model:
         # log10 probability tables
         self.weights = np.zeros(BUCKETS)
 
-    def bucket(self, context: np.ndarray) -> np.ndarray:
-        return np.clip(np.frexp(self.v.counts[context])[1], 0, BUCKETS - 1)
+    def bucket(self, count: np.ndarray) -> np.ndarray:
+        return np.clip(np.frexp(count)[1], 0, BUCKETS - 1)
 
-    def unigram(self, ids: np.ndarray) -> np.ndarray:
-        p = self.v.counts[ids] * self.v.share(ids) / max(self.v.tokens, 1)
-        return self.mu * p + (1 - self.mu) * self.uniform
+    def of_count(self, count: np.ndarray) -> np.ndarray:
+        """Unigram probability of words by their count."""
+        return self.mu * (count / max(self.v.tokens, 1)) + (1 - self.mu) * self.uniform
 
-    def ratios(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Bigram over unigram probability of an occurrence that is held out of its pair's n."""
-        p = np.maximum(n - 1, 0) / np.maximum(self.v.counts[before] - 1, 1) * self.v.share(ids)
-        return p / self.unigram(ids)
+    def unigram(self, ids: np.ndarray) -> np.ndarray:
+        return self.of_count(self.v.counts[ids])
 
-    def histogram(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Occurrences by bucket and by logarithm of the ratio, bin 0 for none; what EM needs of them."""
-        r = self.ratios(before, ids, n)
+    def histogram_of(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Occurrences by bucket and by logarithm of bigram over unigram probability, held out of the pair's n, bin 0 for none; what EM needs of them. context and word are counts."""
+        r = np.maximum(n - 1, 0) / np.maximum(context - 1, 1) / self.of_count(word)
         with np.errstate(divide="ignore"):
             k = np.where(r > 0, np.clip(np.rint((np.log(r, where=r > 0, out=np.zeros_like(r)) + 20) * 10), 1, BINS - 1), 0).astype(np.int64)
-        return np.bincount(self.bucket(before) * BINS + k, times, BUCKETS * BINS)
+        return np.bincount(self.bucket(context) * BINS + k, times, BUCKETS * BINS)
+
+    def histogram(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return self.histogram_of(self.v.counts[before], self.v.counts[ids], n, times)
 
     def learn(self, histogram: np.ndarray) -> None:
         """Expectation-maximisation of each bucket's bigram weight."""
@@ -149,11 +167,13 @@ class Model:
             w = np.clip((h * part).sum(1) / np.maximum(h.sum(1), 1), 1e-6, 0.999)
         self.weights = np.where(h.sum(1) > 0, w, 0.0)
 
+    def logs_of(self, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 of the mixture for each occurrence, n being its pair's count, context and word its words' counts."""
+        w = self.weights[self.bucket(context)]
+        return np.log10(w * (n / np.maximum(context, 1)) + (1 - w) * self.of_count(word))
+
     def logs(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 of the mixture for each occurrence, n being its pair's count."""
-        w = self.weights[self.bucket(before)]
-        p = n / np.maximum(self.v.counts[before], 1) * self.v.share(ids)
-        return np.log10(w * p + (1 - w) * self.unigram(ids))
+        return self.logs_of(self.v.counts[before], self.v.counts[ids], n)
 
 
 def head_pairs(docs: DataFrame, shared, head: int) -> np.ndarray:
@@ -165,7 +185,7 @@ def head_pairs(docs: DataFrame, shared, head: int) -> np.ndarray:
         total = np.zeros(head * head, np.int64)
         for b in batches:
             at, data = buffers(b.column(0))
-            for i, j in chunks(at):
+            for i, j in chunks(at, CHUNK):
                 h, doc = _tokens(at[i : j + 1], data)
                 before, ids = _pairs(v.ids(h), doc, v)
                 near = (before < head) & (ids < head)
@@ -173,27 +193,32 @@ def head_pairs(docs: DataFrame, shared, head: int) -> np.ndarray:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
 
-    got = docs.where("train").select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.where("train").select("text").mapInArrow(trimmed(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(head * head, np.int64)
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(head, head)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted 64-bit integers as differences, byte planes apart, compressed."""
+    """64-bit integers, best sorted, as differences, byte planes apart, compressed; nothing for none."""
+    if not len(x):
+        return b""
     d = np.diff(x, prepend=np.uint64(0))
     return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(x: bytes) -> np.ndarray:
+    if not x:
+        return np.zeros(0, np.uint64)
     d = np.frombuffer(zstd.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(d.T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 def packed(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """(part, block, keys, train) of all rows: occurrences of pairs outside the dense table, as pair << 16 | row of the block.
+    """(part, block, keys, train, loose) of all rows: occurrences of pairs outside the dense table, as pair << 16 | row of the block, and loose ones.
 
-    Pairs go to parts by hash; train has a bit for each row of the block.
+    Pairs go to parts by hash; train has a bit for each row of the block. Loose are pairs with a word that has no number
+    but may be known: both hashes and the row. Those of one context without a number go to one part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,28 +226,92 @@ def packed(docs: DataFrame, shared, parts: int) -> DataFrame:
         for b in batches:
             rid, train = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             at, data = buffers(b.column(2))
-            keys: list[list[np.ndarray]] = []
-            for i, j in chunks(at):
+            keys: list[np.ndarray] = []
+            loose: list[np.ndarray] = []
+            for i, j in chunks(at, CHUNK):
                 h, doc = _tokens(at[i : j + 1], data)
                 before, ids = _pairs(v.ids(h), doc, v)
                 far = (before >= v.head) | (ids >= v.head)
+                if not v.complete:
+                    free = (before == v.rare) | (ids == v.rare)
+                    far &= ~free
+                    c, w = _before(h, doc, END)[free], h[free]
+                    to = np.where(before[free] == v.rare, mixed(c ^ SALT), mixed(mixed(c) + w)) % np.uint64(parts)
+                    loose.append(np.stack([to, c, w, (doc[free] + i).astype(np.uint64)]))
                 pair = before[far].astype(np.uint64) << np.uint64(21) | ids[far].astype(np.uint64)
-                keys.append([pair << np.uint64(16) | (doc[far] + i).astype(np.uint64)])
+                keys.append(pair << np.uint64(16) | (doc[far] + i).astype(np.uint64))
             if not keys:
                 continue
-            key = np.concatenate([x[0] for x in keys])
+            key = np.concatenate(keys)
             part = (mixed(key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((key, part))
             key, part = key[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
-            which = [p for p in range(parts) if cut[p + 1] > cut[p]]
+            free = np.concatenate(loose, 1) if loose else np.zeros((4, 0), np.uint64)
+            free = free[:, np.lexsort((free[2], free[1], free[0]))]
+            cut_free = np.searchsorted(free[0], np.arange(parts + 1, dtype=np.uint64))
+            which = [p for p in range(parts) if cut[p + 1] > cut[p] or cut_free[p + 1] > cut_free[p]]
             bits = np.packbits(train).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(which, pa.int32()), pa.array([int(rid[0])] * len(which), pa.int64()), pa.array([_pack(key[cut[p] : cut[p + 1]]) for p in which], pa.binary()), pa.array([bits] * len(which), pa.binary())],
-                ["part", "block", "keys", "train"],
-            )
-
-    return docs.select("rid", "train", "text").mapInArrow(run, "part int, block long, keys binary, train binary")
+                [
+                    pa.array(which, pa.int32()), pa.array([int(rid[0])] * len(which), pa.int64()), pa.array([_pack(key[cut[p] : cut[p + 1]]) for p in which], pa.binary()), pa.array([bits] * len(which), pa.binary()),
+                    pa.array([_pack(free[1:, cut_free[p] : cut_free[p + 1]].reshape(-1)) for p in which], pa.binary()),
+                ],
+                ["part", "block", "keys", "train", "loose"],
+            )
+
+    return docs.select("rid", "train", "text").mapInArrow(trimmed(run), "part int, block long, keys binary, train binary, loose binary")
+
+
+def _firsts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new run of equal values begins."""
+    if not len(sorted_by[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])])
+
+
+def _loose(rows: list, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """All loose occurrences of a part: word, its count (-1 where unknown here), the context's, the pair's, whether in training, number of the block, row."""
+    got = [_unpack(r[4]).reshape(3, -1) for r in rows]
+    where = np.repeat(np.arange(len(got), dtype=np.int64), [x.shape[1] for x in got])
+    c, w, row = np.concatenate(got, 1)
+    row = row.astype(np.int64)
+    train = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[x[2].astype(np.int64)] for r, x in zip(rows, got, strict=True)]).astype(np.int64)
+    order = np.lexsort((w, c))
+    c, w, row, where, train = c[order], w[order], row[order], where[order], train[order]
+    if not len(c):
+        return w, np.zeros(0), np.zeros(0), np.zeros(0), train, where, row
+    first = _firsts(c, w)
+    n = np.repeat(np.add.reduceat(train, first), np.diff(np.r_[first, len(c)]))
+    first = _firsts(c)
+    ids = v.ids(c)
+    context = np.where(ids == v.rare, np.repeat(np.add.reduceat(train, first), np.diff(np.r_[first, len(c)])), v.counts[ids])
+    ids = v.ids(w)
+    return w, np.where(ids == v.rare, -1.0, v.counts[ids]), context.astype(np.float64), n.astype(np.float64), train, where, row
+
+
+def _to_words(rows: list, v: Vocabulary, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, occurrences) of the loose occurrences whose word has no number, by that word."""
+    w, count, context, n, train, where, row = _loose(rows, v)
+    k = np.flatnonzero(count < 0)
+    block = np.array([r[1] for r in rows], np.uint64)[where[k]]
+    to = mixed(w[k] ^ SALT) % np.uint64(parts)
+    all_ = np.stack([w[k], context[k].astype(np.uint64), n[k].astype(np.uint64), block, (row[k] << 1 | train[k]).astype(np.uint64)])
+    order = np.lexsort((w[k], to))
+    all_, to = all_[:, order], to[order]
+    cut = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, _pack(all_[:, cut[p] : cut[p + 1]].reshape(-1))
+
+
+def _of_words(rows: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All occurrences of a part of words: the word's count, the context's, the pair's, whether in training, block, row."""
+    w, context, n, block, last = np.concatenate([_unpack(x).reshape(5, -1) for x in rows], 1)
+    order = np.argsort(w, kind="stable")
+    w, context, n, block, last = w[order], context[order].astype(np.float64), n[order].astype(np.float64), block[order].astype(np.int64), last[order].astype(np.int64)
+    first = _firsts(w)
+    count = np.repeat(np.add.reduceat(last & 1, first), np.diff(np.r_[first, len(w)]))
+    return count.astype(np.float64), context, n, last & 1, block, last >> 1
 
 
 def _runs(rows: list) -> tuple[np.ndarray, ...]:
@@ -236,7 +325,7 @@ def _runs(rows: list) -> tuple[np.ndarray, ...]:
     key, where, train = key[order], where[order], train[order]
     del order
     pair = key >> np.uint64(16)
-    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    first = _firsts(pair)
     n = np.add.reduceat(train.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(pair)])
     return (pair[first] >> np.uint64(21)).astype(np.int64), (pair[first] & np.uint64((1 << 21) - 1)).astype(np.int64), n, size, where, (key & np.uint64(0xFFFF)).astype(np.int32)
@@ -258,41 +347,84 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
     small_batches(spark, BLOCK_DOCS)
     docs = docs.select(*keys, "text", F.coalesce("train", F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("rid"))
     counts, _ = stored(unigrams(docs), "words")
-    v, rare = vocabulary(counts, limit, head)
+    v = vocabulary(counts, limit, head)
     shared = spark.sparkContext.broadcast(v)
     model = Model(v, head_pairs(docs, shared, head))
 
     parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # a part is held in memory, some ten times over
-    blocks = packed(docs, shared, parts).rdd.map(lambda r: (r[0], (r[0], r[1], bytes(r[2]), bytes(r[3])))).partitionBy(parts, lambda p: p).values()
+    blocks = packed(docs, shared, parts).rdd.map(lambda r: (r[0], (r[0], r[1], bytes(r[2]), bytes(r[3]), bytes(r[4])))).partitionBy(parts, lambda p: p).values()
     bare = spark.sparkContext.broadcast(model)
 
+    of_words = None if v.complete else blocks.mapPartitions(trimmed(lambda rows: _to_words(rows, bare.value.v, parts) if (rows := list(rows)) else ())).partitionBy(parts, lambda p: p).values()
+
     def learn(rows: Iterator) -> Iterator[np.ndarray]:
         rows = list(rows)
         if rows:
+            m = bare.value
             before, ids, n, *_ = _runs(rows)
-            yield bare.value.histogram(before, ids, n, n)
+            out = m.histogram(before, ids, n, n)
+            if not m.v.complete:
+                _, count, context, n, train, *_ = _loose(rows, m.v)
+                own = count >= 0
+                out = out + m.histogram_of(context[own], count[own], n[own], train[own])
+            yield out
+
+    def learn_words(rows: Iterator) -> Iterator[np.ndarray]:
+        rows = list(rows)
+        if rows:
+            count, context, n, train, *_ = _of_words(rows)
+            yield bare.value.histogram_of(context, count, n, train)
 
-    seen = blocks.mapPartitions(learn).treeReduce(np.add) if v.tokens else np.zeros(BUCKETS * BINS)
+    none = np.zeros(BUCKETS * BINS)
+    seen = blocks.mapPartitions(trimmed(learn)).treeReduce(np.add) if v.tokens else none
+    if of_words is not None:
+        seen = seen + of_words.mapPartitions(trimmed(learn_words)).treeAggregate(none, np.add, np.add)
     a, b = np.nonzero(model.head)
     model.learn(seen + model.histogram(a, b, model.head[a, b], model.head[a, b]))
     final = spark.sparkContext.broadcast(model)
 
-    def far(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+    def far(rows: Iterator) -> Iterator[tuple[int, tuple[bool, bytes]]]:
         rows = list(rows)
         if rows:
+            m = final.value
             before, ids, n, size, where, row = _runs(rows)
-            logs = np.repeat(final.value.logs(before, ids, n.astype(np.float64)), size)
-            sums = np.bincount(where.astype(np.int64) * BLOCK_DOCS + row, logs, len(rows) * BLOCK_DOCS).reshape(-1, BLOCK_DOCS)
-            for r, own in zip(rows, sums, strict=True):
-                yield r[1], zlib.compress(own[: len(r[3]) * 8].astype(np.float32).tobytes(), 1)
-
-    def add(x: np.ndarray, y: bytes) -> np.ndarray:
-        return x + np.frombuffer(zlib.decompress(y), np.float32)
-
-    summed = blocks.mapPartitions(far).combineByKey(lambda y: np.frombuffer(zlib.decompress(y), np.float32).astype(np.float64), add, np.add, parts, _deal)
-    pairs = spark.createDataFrame(summed.flatMap(lambda x: [(x[0] + i, float(s)) for i, s in enumerate(x[1].tolist()) if s]), "rid long, far double")
-
-    names = [*keys, "train", "rid", "n_tokens", "n_known", "base", "near", "rare"]
+            logs = np.repeat(m.logs(before, ids, n.astype(np.float64)), size)
+            sums = np.bincount(where.astype(np.int64) * BLOCK_DOCS + row, logs, len(rows) * BLOCK_DOCS)
+            if not m.v.complete:
+                _, count, context, n, _, where, row = _loose(rows, m.v)
+                own = count >= 0
+                sums = sums + np.bincount(where[own] * BLOCK_DOCS + row[own], m.logs_of(context[own], count[own], n[own]), len(rows) * BLOCK_DOCS)
+            for r, own in zip(rows, sums.reshape(-1, BLOCK_DOCS), strict=True):
+                yield r[1], (False, zlib.compress(own[: len(r[3]) * 8].astype(np.float32).tobytes(), 1))
+
+    def far_words(rows: Iterator) -> Iterator[tuple[int, tuple[bool, bytes]]]:
+        """By block the sums of scores, of known words and of their base scores."""
+        rows = list(rows)
+        if rows:
+            count, context, n, _, block, row = _of_words(rows)
+            logs, known, base = final.value.logs_of(context, count, n), (count > 0).astype(np.float64), np.log10(count + 1)
+            order = np.argsort(block, kind="stable")
+            for own in np.split(order, _firsts(block[order])[1:]):
+                sums = np.concatenate([np.bincount(row[own], x[own], BLOCK_DOCS) for x in (logs, known, base)])
+                yield int(block[own[0]]), (True, zlib.compress(sums.tobytes(), 1))
+
+    def by_row(rows: Iterator[tuple[int, tuple[bool, bytes]]]) -> Iterator[tuple[int, float, int, float]]:
+        found: dict[int, np.ndarray] = {}
+        for block, (of_words, y) in rows:
+            y = np.frombuffer(zlib.decompress(y), np.float64 if of_words else np.float32)
+            found.setdefault(block, np.zeros(3 * BLOCK_DOCS))[: len(y)] += y
+        for block, x in found.items():
+            score, known, base = x.reshape(3, -1)
+            for i in np.flatnonzero(score).tolist():
+                yield block + i, float(score[i]), round(known[i]), float(base[i])
+
+    every = blocks.mapPartitions(trimmed(far))
+    if of_words is not None:
+        every = every.union(of_words.mapPartitions(trimmed(far_words)))
+    summed = every.partitionBy(parts, _deal).mapPartitions(trimmed(by_row))
+    pairs = spark.createDataFrame(summed, "rid long, far double, more long, add double")
+
+    names = [*keys, "train", "rid", "n_tokens", "n_known", "base", "near"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = final.value
@@ -303,8 +435,8 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
         for b in batches:
             k = len(keys)
             at, data = buffers(b.column(k))
-            n_tokens, n_known, base, here, rest = (np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b)), np.zeros(len(b)), [None] * len(b))
-            for i, j in chunks(at):
+            n_tokens, n_known, base, here = (np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b)), np.zeros(len(b)))
+            for i, j in chunks(at, CHUNK):
                 h, doc = _tokens(at[i : j + 1], data)
                 ids, size = v.ids(h), j - i
                 before, _ = _pairs(ids, doc, v)
@@ -314,24 +446,12 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOC
                 n_known[i:j] = np.bincount(doc, known, size).astype(np.int64)
                 base[i:j] = np.bincount(doc, np.where(known, np.log10(np.where(known, v.counts[ids], 0) + 1), 0) - cost, size)
                 here[i:j] = np.bincount(doc[both], table[before[both] * head + ids[both]], size)
-                if v.types > len(v.n):
-                    own = np.flatnonzero(~known)
-                    cut = np.searchsorted(doc[own], np.arange(size + 1))
-                    w = h[own].view(np.int64)
-                    for d in np.flatnonzero(np.diff(cut)).tolist():
-                        rest[i + d] = w[cut[d] : cut[d + 1]]
             kept = [b.column(c) for c in range(k)]
-            yield pa.RecordBatch.from_arrays([*kept, b.column(k + 1), b.column(k + 2), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(here), pa.array(rest, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*kept, b.column(k + 1), b.column(k + 2), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(here)], names)
 
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", train boolean, rid long, n_tokens long, n_known long, base double, near double, rare array<long>"
-    scored = docs.select(*keys, "text", "train", "rid").mapInArrow(near, schema)
-    if v.types > len(v.n):
-        scored, _ = stored(scored, "scored")
-        tail = scored.select("rid", F.explode("rare").alias("word")).join(rare, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"))
-        scored = scored.join(tail, "rid", "left")
-    else:
-        scored = scored.withColumn("more", F.lit(0)).withColumn("add", F.lit(0.0))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", train boolean, rid long, n_tokens long, n_known long, base double, near double"
+    scored = docs.select(*keys, "text", "train", "rid").mapInArrow(trimmed(near), schema)
     zero = F.lit(0.0)
 
     def plus(x: str, y: str) -> Column:

@@ -61,6 +61,18 @@ def test_against_counting(spark, limit, head):
             assert abs(got[i].score - m.logs(before, now, count).sum()) < 1e-3 * max(1, len(k))
 
 
+def test_scores_do_not_depend_on_the_numbered_words(spark):
+    """Words without a number keep their own unigram and pair counts, so few numbers give the scores that many give."""
+    d = spark.createDataFrame(corpus(), "doc_id long, text string, train boolean")
+    want = {r.doc_id: r for r in lm.score(d, limit=1 << 20, head=16).collect()}
+    for limit, head in ((20, 4), (2, 1)):
+        for r in lm.score(d, limit=limit, head=head).collect():
+            w = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (w.n_tokens, w.n_known, w.train_tokens)
+            assert abs(r.base_score - w.base_score) < 1e-6
+            assert abs(r.score - w.score) < 1e-5 * r.n_tokens
+
+
 def test_probabilities_sum_to_one():
     voc = lm.Vocabulary(np.arange(1, 6), np.array([5, 4, 3, 2, 1]), 15, 5, 8, 2)
     m = lm.Model(voc, np.zeros((2, 2), np.int64))
