@@ -66,8 +66,9 @@ def features(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts")
 
 
 def by_trees(df: DataFrame, keys: list[str], target: str, drivers: list[str], model: str = "rf", share: float = 0.75, seed: int = 42, ts: str = "ts") -> tuple[DataFrame, dict[str, float]]:
-    """(df with filled and fill_flag, scores on the held-out quarter): 0 measured, 1 all features, 2 the calendar model where a driver is missing.
+    """(df with filled and fill_flag, scores on the held-out quarter of all series): 0 measured, 1 all features, 2 the calendar model where a driver is missing.
 
+    Each series has models of its own, fitted one series after the other; gaps of one with nothing to learn from stay, with a null flag.
     The split is by hash of the row, so reruns agree. The second model learns from the series the first has filled.
     """
     from pyspark.ml import Pipeline
@@ -83,13 +84,22 @@ def by_trees(df: DataFrame, keys: list[str], target: str, drivers: list[str], mo
         return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=f"{out}_x", handleInvalid="skip"), kind(featuresCol=f"{out}_x", labelCol=label, predictionCol=out, seed=seed, **options)]).fit(rows)
 
     part = F.pmod(F.xxhash64(*keys, ts, F.lit(seed)), F.lit(1000)) < int(share * 1000)
-    known = d.where(F.col(target).isNotNull())
-    first = fitted(known.where(part), names, target, "_p")
-    tested = first.transform(known.where(~part))
-    scores = {m: RegressionEvaluator(labelCol=target, predictionCol="_p", metricName=m).evaluate(tested) for m in ("r2", "rmse", "mae")}
-    predicted = first.transform(d).select(*keys, ts, "_p")
-    d = d.join(predicted, [*keys, ts], "left").withColumn("_y", F.coalesce(F.col(target), F.col("_p")))
     clock = ["doy_sin", "doy_cos", "hour_sin", "hour_cos"]
-    d = fitted(d.where("_y IS NOT NULL"), clock, "_y", "_q").transform(d)
-    flag = F.when(F.col(target).isNotNull(), 0).when(F.col("_p").isNotNull(), 1).otherwise(2)
-    return d.withColumn("filled", F.coalesce("_y", "_q")).withColumn("fill_flag", flag).select(*df.columns, "filled", "fill_flag"), scores
+    measured = F.when(F.col(target).isNotNull(), 0)
+
+    def one(d: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        known = d.where(F.col(target).isNotNull())
+        if known.where(part).dropna(subset=names).isEmpty():
+            return d.withColumn("filled", F.col(target).cast("double")).withColumn("fill_flag", measured), None
+        first = fitted(known.where(part), names, target, "_p")
+        predicted = first.transform(d).select(*keys, ts, "_p")
+        filled = d.join(predicted, [*keys, ts], "left").withColumn("_y", F.coalesce(F.col(target), F.col("_p")))
+        filled = fitted(filled.where("_y IS NOT NULL"), clock, "_y", "_q").transform(filled)
+        flag = measured.when(F.col("_p").isNotNull(), 1).otherwise(2)
+        return filled.withColumn("filled", F.coalesce("_y", "_q")).withColumn("fill_flag", flag), first.transform(known.where(~part)).select(target, "_p")
+
+    own = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in df.select(*keys).distinct().orderBy(*keys).collect()]
+    done = [one(d.where(x)) for x in own] or [one(d)]
+    tests = [x for _, x in done if x is not None]
+    scores = {m: RegressionEvaluator(labelCol=target, predictionCol="_p", metricName=m).evaluate(reduce(DataFrame.unionByName, tests)) for m in ("r2", "rmse", "mae")} if tests else {}
+    return reduce(DataFrame.unionByName, [x.select(*df.columns, "filled", "fill_flag") for x, _ in done]), scores

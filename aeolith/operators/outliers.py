@@ -117,7 +117,7 @@ def manual_removal(v: str, ts: str, ranges: list) -> Column:
     return flag(F.col(v), bad)
 
 
-def repeated(df: DataFrame, test: Callable[[DataFrame, str], DataFrame], v: str = "v", name: str = "flag", most: int = 50) -> DataFrame:
+def repeated(df: DataFrame, test: Callable[[DataFrame, str], DataFrame], v: str = "v", name: str = "flag") -> DataFrame:
     """test(df, column) again and again on what passed, until it rejects no more; each round is checkpointed, so lineage stays short and lost executors don't start over."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -125,7 +125,7 @@ def repeated(df: DataFrame, test: Callable[[DataFrame, str], DataFrame], v: str
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="aeolith-"))
     d = df.withColumn("_left", F.col(v)).withColumn(name, F.when(F.col(v).isNotNull(), 0))
-    for _ in range(most):
+    while True:
         d = test(d, "_left").withColumn("_bad", F.coalesce(F.col("_t") == 2, F.lit(False)))
         d = d.withColumn(name, F.when(F.col("_bad"), 2).otherwise(F.col(name))).withColumn("_left", F.when(~F.col("_bad"), F.col("_left"))).checkpoint()
         if d.where("_bad").isEmpty():

@@ -55,7 +55,7 @@ def ustar_filter(spark, sf_dir):
 @query()
 def ustar_detection(spark, sf_dir):
     d = halfhours(spark, sf_dir).where("swin < 10").withColumn("nee", F.col("flux"))
-    return flux.ustar_percentiles(flux.detect_ustar(d.select("k", "ts", "nee", "ta", "ustar"), ["k"], 3, 100), ["k"])
+    return flux.ustar_percentiles(flux.detect_ustar(d.select("k", "ts", "nee", "ta", "ustar"), ["k"], 100), ["k"])
 
 
 @query()
@@ -66,8 +66,7 @@ def storage_correction(spark, sf_dir):
 
 @query()
 def mds_gap_filling(spark, sf_dir):
-    d = halfhours(spark, sf_dir).where("k = 'purchase'")
-    return fill.mds(d, ["k"]).select("k", "ts", "filled", "sd", "n", "method", "window")
+    return fill.mds(halfhours(spark, sf_dir), ["k"]).select("k", "ts", "filled", "sd", "n", "method", "window")
 
 
 @query()
@@ -77,12 +76,12 @@ def random_uncertainty(spark, sf_dir):
 
 @query()
 def tree_gap_filling(spark, sf_dir):
-    return fill.by_trees(halfhours(spark, sf_dir).where("k = 'purchase'"), ["k"], "flux", ["swin", "ta", "vpd"])[0].select("k", "ts", "filled", "fill_flag")
+    return fill.by_trees(halfhours(spark, sf_dir), ["k"], "flux", ["swin", "ta", "vpd"])[0].select("k", "ts", "filled", "fill_flag")
 
 
 @query()
 def nighttime_partitioning(spark, sf_dir):
-    d = halfhours(spark, sf_dir).where("k = 'view'").withColumns({"nee": F.col("flux"), "nee_f": F.coalesce("flux", F.lit(0.0)), "ta_f": F.col("ta"), "sw_in": F.col("swin")})
+    d = halfhours(spark, sf_dir).withColumns({"nee": F.col("flux"), "nee_f": F.coalesce("flux", F.lit(0.0)), "ta_f": F.col("ta"), "sw_in": F.col("swin")})
     return flux.partition_nighttime(d.select("k", "ts", "nee", "ta", "sw_in", "nee_f", "ta_f"), ["k"]).select("k", "ts", "reco", "gpp")
 
 
@@ -121,7 +120,7 @@ def combine_first(spark, sf_dir):
 
 @query()
 def flux_chain(spark, sf_dir):
-    d = halfhours(spark, sf_dir).where("k = 'click'").withColumn("raw_flag", F.when(F.col("flux") > 150, 2).otherwise(0)).withColumn("storage", F.col("ta") / 20)
+    d = halfhours(spark, sf_dir).withColumn("raw_flag", F.when(F.col("flux") > 150, 2).otherwise(0)).withColumn("storage", F.col("ta") / 20)
     c = flux.Chain(d, flux.Site(LAT, LON, OFFSET), ["k"], "flux").level0().level2([F.col("raw_flag")]).level31("storage").level32(96, 5.5).level33(0.1).level41().level42()
     return c.df.select("k", "ts", "sw_in_pot", "qcf_l2", "flux_l33", "flux_l41", "reco", "gpp")
 

@@ -1,5 +1,6 @@
 """Planted signals, closed forms and round trips."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 
 from aeolith.functions import solar
 from aeolith.operators import decompose, fill, flux
+from aeolith.plans import registry
 from aeolith.sources import files
 from aeolith.streaming import live
 
 T0 = datetime(2023, 1, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def test_stl_recovers_a_planted_cycle():
@@ -119,6 +122,31 @@ def test_tree_filling_keeps_measurements_and_fills_all(spark):
     assert scores["r2"] > 0.9 and {r.fill_flag for r in got.values()} == {0, 1, 2}
 
 
+def test_tree_filling_learns_each_series_apart(spark):
+    rng = np.random.default_rng(5)
+    level = {"a": 0.0, "b": 1000.0}
+    rows = [(k, T0 + timedelta(minutes=30 * i), None if 100 < i < 160 else level[k] + float(np.sin(i / 8)), float(np.sin(i / 8)), float(rng.normal())) for k in level for i in range(400)]
+    rows += [("c", T0, None, 0.0, 0.0)]
+    d, _ = fill.by_trees(spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double, a double, b double"), ["k"], "y", ["a", "b"])
+    got = d.where("y IS NULL").collect()
+    assert len(got) == 119 and all(abs(r.filled - level[r.k]) < 2 for r in got if r.k != "c")
+    assert [(r.filled, r.fill_flag) for r in got if r.k == "c"] == [(None, None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["mds_gap_filling", "tree_gap_filling", "nighttime_partitioning", "flux_chain"])
+def test_queries_take_every_series(spark, name):
+    want = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}
+    assert {r.k for r in registry.queries()[name](spark, SF).select("k").collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_ustar_detection_draws_a_hundred_times(spark, monkeypatch):
+    monkeypatch.setattr(flux, "ustar_percentiles", lambda found, keys: found)
+    got = registry.queries()["ustar_detection"](spark, SF).groupBy("k").agg(F.countDistinct("draw").alias("n")).collect()
+    assert got and {r.n for r in got} == {100}
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("TIMESTAMP_END,FC,TA,TA\n202301010030,1.5,-9999,3\n202301010100,NaN,2,x\nbad,1,2,3\n")
     d = files.read_text(spark, f"file://{tmp_path}/a.csv", "csv_30min_end").orderBy("ts")

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aeolith.functions import codes
@@ -51,6 +52,14 @@ def test_repeated_removes_masked_spikes(spark):
     assert once[-2:] == [0, 2] and many[-2:] == [2, 2]
 
 
+def test_repeated_goes_on_until_nothing_is_rejected(spark):
+    def largest(d, c):
+        top = F.max(c).over(Window.partitionBy("k"))
+        return d.withColumn("_t", F.when((F.col(c) == top) & (top > 3), 2).otherwise(0))
+
+    assert column(outliers.repeated(frame(spark, list(range(60))), largest), "flag") == [0] * 4 + [2] * 56
+
+
 def test_hampel_with_no_deviation_rejects_nothing(spark):
     assert set(column(outliers.hampel(frame(spark, [1] * 20 + [50] + [1] * 20), ["k"], 9, 3), "flag")) == {0}
 
