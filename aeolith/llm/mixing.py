@@ -69,14 +69,16 @@ def schedule(sources: DataFrame, words: int, n_sources: int, block: int = BLOCK_
     return ranked.join(runs, ["sid", "run"]).select("slot", "sid", (F.col("base") + F.col("rn") - 1).alias("rank"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", block: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs (doc_id, source, size) to (doc_id, source, size, source_size, target, taken).
+def mix(docs: DataFrame, seed: str = "mix", block: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, row: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, source, size, and row) to (doc_id, source, size, source_size, target, taken, and row).
 
     Null sources are one source, the last; null sizes are 0; repeated rows each count; an empty table gives no rows.
-    A document of no words is taken 0 times. Only the named columns are read. Reruns agree: the shuffle orders by
-    md5 of seed and doc_id, ties by doc_id and size.
+    A document of no words is taken 0 times, one of very many words as any other. Only the named columns are read.
+    Reruns agree: the shuffle orders by md5 of seed and doc_id, ties by doc_id, size and the columns named by row, which
+    tell rows apart whose doc_ids repeat or are null.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *[F.col(c).alias(f"_row{i}") for i, c in enumerate(row)])
+    ties = [f"_row{i}" for i in range(len(row))]
     sources = targets(sized, weights)
     n_sources, words = sources.agg(F.count("*"), F.coalesce(F.ceil(F.sum("target")), F.lit(0))).first()
     slots = schedule(sources, int(words), n_sources, block)
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, seed: str = "mix", block: int = BLOCK_WORDS, weights: t
     own = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
     d = sized.join(own.select("sid", F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("b", F.substring("h", 1, 3))
-    part = Window.partitionBy("sid", "b").orderBy("h", "doc_id", "size")
+    part = Window.partitionBy("sid", "b").orderBy("h", "doc_id", "size", *ties)
     d = d.withColumn("rn", F.row_number().over(part)).withColumn("end", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, 0)))
     parts = sized.join(own.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
     parts = parts.withColumn("b", F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 3))
@@ -99,7 +101,8 @@ def mix(docs: DataFrame, seed: str = "mix", block: int = BLOCK_WORDS, weights: t
     overlap = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
     taken = pieces.withColumn("n", overlap).join(slots.select("sid", "rank"), ["sid", "rank"]).groupBy("sid", "b", "rn").agg(F.sum("n").alias("taken"))
     d = d.join(taken, ["sid", "b", "rn"], "left")
-    return d.select("doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+    kept = [F.col(t).alias(c) for t, c in zip(ties, row, strict=True)]
+    return d.select("doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), *kept)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

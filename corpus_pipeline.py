@@ -1,12 +1,13 @@
 """A training corpus from documents in five stages: language, repeated lines, near copies, benchmark passages, mix.
 
 Each stage takes all that its predecessor kept, as written to Parquet, and all but the last return the columns of
-documents. Null texts have no language and go in the first stage; empty tables pass through as empty.
+documents. Null texts have no language and go in the first stage; empty tables pass through as empty. Rows count one by
+one: doc_ids may repeat or be null, and other columns than those of documents are left out. Texts are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolith.llm import decontaminate, jaccard, langid, line_dedup, mixing
@@ -30,12 +31,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' columns, more, and row: a number of its own for each row, written once so that it stays the same whoever reads it."""
+    return stored(docs.select(*COLUMNS, *more, F.monotonically_increasing_id().alias("row")), "rows")[0]
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of the smallest doc_id; of rows with one doc_id one. Rows without a doc_id are in no group and stay."""
-    found = jaccard.groups(docs, SHINGLE_WORDS, *SIMILARITY)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of similar documents one row stays: that of the smallest doc_id, null last, then by text, source and language.
+
+    Rows are told apart by a number, so neither repeated nor null doc_ids join rows of different texts. Rows without
+    words are in no group and all stay.
+    """
+    rows = numbered(docs)
+    found = jaccard.groups(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, *SIMILARITY).withColumnRenamed("doc_id", "row")
+    names = rows.select("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), "source", "lang", "n_chars", "row").alias("name"))
+    first = found.join(names, "row").groupBy("component_id").agg(F.min("name").alias("name"))
+    return rows.join(first.select(F.col("name.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +57,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with size, source_size, target and taken; those of which no word is taken go."""
-    taken = mixing.mix_documents(docs).where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
-    taken = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "taken")
-    d = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
-    return d.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("d", "s", "z")
+    """Documents of the mix with size, source_size, target and taken; those of which no word is taken go. Each row counts by itself."""
+    rows = numbered(docs, mixing.word_count(F.col("text")).alias("size"))
+    taken = mixing.mix(rows.select("doc_id", "source", "size", F.xxhash64("text").alias("t"), "row"), row=("t", "row"))
+    return rows.join(taken.where("taken > 0").select("row", "source_size", "target", "taken"), "row").drop("row")
 
 
 STAGES = [

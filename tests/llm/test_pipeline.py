@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import os
+import random
 
 import pytest
 
@@ -49,3 +50,31 @@ def test_repeated_ids_null_ids_and_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.drop_near_copies(spark, d, SF).collect()) == [0, 1, 2, 3]
     assert all(stage(spark, d.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
     assert jaccard.groups(d).count() == 5
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    """Repeated and null doc_ids with different texts: brute force over rows, in any order of them."""
+    rng = random.Random(3)
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=40))
+    near = lambda t: t + " end"
+    a, b, c, d = (text(i) for i in range(4))
+    rows = [(5, b), (5, a), (7, a), (7, near(b)), (None, c), (None, d), (None, near(c)), (9, d), (9, ""), (9, None), (None, None), (5, a)]
+    want = sorted([(5, b), (5, a), (0, c), (9, d), (9, ""), (9, ""), (0, "")])
+    for _ in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+        # of c and its near copy, both without a doc_id, the one with the smaller text hash stays
+        assert [(i, c if t == near(c) else t) for i, t in got] == want or sorted((i, c if t == near(c) else t) for i, t in got) == want
+
+
+def test_mix_counts_rows_of_one_doc_id_apart(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 2 else i % 7, " ".join(["w"] * 100), "en", rng.choice("abc"), 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    targets = {r.source: r.target for r in got}
+    for source, target in targets.items():
+        taken = [r.taken for r in got if r.source == source]
+        assert abs(sum(taken) - target) <= 4 * 64 and all(0 < t <= 200 for t in taken)
+    assert abs(sum(r.taken for r in got) - 60_000) <= 600
