@@ -54,8 +54,9 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows, and with long texts the bytes, that one Arrow batch takes to a Python worker."""
+    """Bounds the rows and the bytes that one Arrow batch takes to a Python worker, in this session from now on: plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,38 +1,37 @@
-"""Language-model scores by deleted interpolation of bigrams, unigrams and a uniform share.
-
-Counts come from all training texts, and each word, known by a 64-bit hash, has its own. The most frequent VOCABULARY
-words also get numbers, with which they are counted faster; the model doesn't depend on how many. Pairs of the HEAD
-most frequent words are counted in a dense table; every other pair is so rare that hashing spreads them evenly: their
-occurrences are packed into blocks of bytes, shuffled once, and read twice: to count and learn the mixture weights by
-expectation-maximisation, with each occurrence held out of its own counts, then to score. Occurrences with a word that
-has no number go by their first word, which gives its count and the pair's, and then, where the second has none, by
-that, which gives the other count. A word that is in no training text but very common in others goes to one task.
+"""Language-model scores by deleted interpolation of trigrams, bigrams, unigrams and a uniform share.
+
+Texts become blocks of tokens once, each word known by a 64-bit hash. A block sends each n-gram it has (once, with how
+often its training texts have it) to the part that owns the n-gram's range of hashes; parts add up, and send each block
+the counts back in the order of its n-grams. So every count is exact and over all training texts, nothing is
+broadcast but the mixture weights, and no n-gram, however common, reaches a part more than once a block.
+
+A context of frequency c predicts with weight w[bucket of c], which expectation-maximisation learns from the training
+occurrences, each held out of its own counts. A context met once holds nothing when that occurrence is left out, so its
+weight is 0, and no text is predicted from its own memory alone. Weights come from a histogram of ratios of
+probabilities, of bounded size, rounded to an eighth of a nat.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm.common import buffers, chunks, mixed, small_batches, stored, words
+from aeolith.llm.common import buffers, chunks, mixed, removed, small_batches, stored, words
 
-#: Words numbered (16 bytes each where broadcast) and, among them, those whose pairs are counted in a dense table.
-VOCABULARY, HEAD = 1 << 18, 1024
-#: Contexts are put in buckets by the binary logarithm of their frequency.
-BUCKETS, BINS = 40, 400
+#: Bytes of text of a block, a longer text being one of its own; of text whose n-grams a part owns; and most parts.
+BLOCK_BYTES, PART_BYTES, MAX_PARTS = 4 << 20, 8 << 20, 100_000
+#: Contexts are put in buckets by the binary logarithm of their frequency. Ratios of probabilities have BINS bins, STEPS a nat from LEAST up; bin 0 for none.
+BUCKETS, BINS, STEPS, LEAST = 48, 256, 8, -6.0
+ROUNDS = 200
 END = mixed(np.array([0xE4D], np.uint64))[0]
-SALT = np.uint64(0xA5A5)
-#: Documents of a packed block, below 2**16.
-BLOCK_DOCS = 2000
-#: Bytes of text hashed at once, which take some forty times as many.
-CHUNK = 1 << 19
+SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_LOW = np.uint64(3)
 
 
 def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -46,417 +45,285 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
-def _tokens(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text closed by an end, and the number of the text of each."""
-    h, first = words(at, data)
-    n = np.diff(first)
-    out = np.insert(h, first[1:], END)
-    return out, np.repeat(np.arange(len(n)), n + 1)
-
-
-def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, n = np.unique(hashes, return_counts=True)
-    return u.view(np.int64), n
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte planes apart, compressed; the first byte is the number of planes."""
+    x = np.ascontiguousarray(x, np.uint64)
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes())
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(word, n) over the training rows of docs (rid, doc_id, text, train)."""
+def unpack(data: bytes) -> np.ndarray:
+    planes = data[0]
+    flat = np.frombuffer(zstd.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(planes, -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, :planes] = flat.T
+    return out.reshape(-1).view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, data = buffers(b.column(0))
-            for i, j in chunks(at, CHUNK):
-                u, n = _counted(_tokens(at[i : j + 1], data)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return docs.where("train").select("text").mapInArrow(trimmed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
 
-class Vocabulary:
-    """Numbered words, most frequent first, with their counts; N tokens and V types of the training texts.
-
-    spectrum has the counts that occur among all types and how many types have each; without, from the numbered words.
-    """
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
 
-    def __init__(self, word: np.ndarray, n: np.ndarray, tokens: int, types: int, limit: int = VOCABULARY, head: int = HEAD, spectrum: tuple[np.ndarray, np.ndarray] | None = None):
-        self.rare, self.head = np.int64(limit), head
-        order = np.lexsort((word, -n))[:limit]
-        word, self.n = word[order].view(np.uint64), n[order].astype(np.float64)
-        self.tokens, self.types = tokens, types
-        by_hash = np.argsort(word)
-        self.sorted, self.number = word[by_hash], by_hash.astype(np.int64)
-        self.counts = np.r_[self.n, np.zeros(limit + 1 - len(word))]
-        self.spectrum = spectrum or np.unique(self.n, return_counts=True)
-        #: A word without a number is in no training text.
-        self.complete = types <= len(word)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words; those not numbered, known or not, have one of their own, which has no count."""
-        if not len(self.sorted):
-            return np.full(len(hashes), self.rare)
-        u, back = np.unique(hashes, return_inverse=True)
-        i = np.minimum(np.searchsorted(self.sorted, u), len(self.sorted) - 1)
-        return np.where(self.sorted[i] == u, self.number[i], self.rare)[back]
+def tokens(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Blocks (block, rows, lengths, words, at) of docs (keys, train, text): keys and train of each text, its number of tokens, the block's words, sorted, and the word of each token. Each text closes with an end."""
+    names = [*keys, "train"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for b in batches:
+            at, data = buffers(b.column(len(names)))
+            for i, j in chunks(at, BLOCK_BYTES):
+                h, first = words(at[i : j + 1], data)
+                all_ = np.insert(h, first[1:], END)
+                u, back = np.unique(all_, return_inverse=True)
+                rows = pa.StructArray.from_arrays([b.column(c).slice(i, j - i) for c in range(len(names))], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), rows), pa.array([pack(np.diff(first) + 1)], pa.binary()), pa.array([pack_sorted(u)], pa.binary()), pa.array([pack(back)], pa.binary())],
+                    ["block", "rows", "lengths", "words", "at"],
+                )
+                block += 1
 
-def vocabulary(counts: DataFrame, limit: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
-    """The numbered words: the end, which every text has, and the most frequent others."""
-    got = counts.groupBy("n").agg(F.count("*").alias("m")).orderBy("n").toArrow()
-    n, m = got["n"].to_numpy(), got["m"].to_numpy()
-    types = int(m.sum())
-    top = counts.orderBy(F.col("word") != int(END.view(np.int64)), F.desc("n"), "word").limit(limit) if types > limit else counts
-    got = top.toArrow()
-    return Vocabulary(got["word"].to_numpy(), got["n"].to_numpy(), int((n * m).sum()), types, limit, head, (n.astype(np.float64), m))
+    types = dict(docs.dtypes)
+    row = ", ".join(f"`{c}`: {types[c]}" for c in names)
+    return docs.select(*names, "text").mapInArrow(trimmed(run), f"block long, rows array<struct<{row}>>, lengths binary, words binary, at binary")
+
+
+class Block:
+    """The n-grams of a block: distinct ones, sorted, which of them each token ends, by order, and how often training texts have each."""
+
+    def __init__(self, row: dict):
+        self.lengths = unpack(row["lengths"]).astype(np.int64)
+        h = unpack_sorted(row["words"])[unpack(row["at"]).astype(np.int64)]
+        self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        one = np.r_[END, h[:-1]]
+        one[self.first] = END
+        two = np.r_[END, one[:-1]]
+        two[self.first] = END
+        with np.errstate(over="ignore"):
+            pair = mixed(mixed(one + SALT[0]) + h)
+            triple = mixed(mixed(mixed(two + SALT[1]) + one) + h)
+        self.size = len(h)
+        every = np.concatenate([x & ~_LOW | np.uint64(k) for k, x in ((1, h), (2, pair), (3, triple))])
+        self.grams, self.which = np.unique(every, return_inverse=True)
+        self.train = np.repeat(np.array([r["train"] for r in row["rows"]], bool), self.lengths)
+        self.own = np.bincount(self.which, np.tile(self.train, 3), len(self.grams)).astype(np.int64)
+
+    def cuts(self, parts: int) -> np.ndarray:
+        """Where each part's n-grams begin."""
+        edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+        return np.r_[np.searchsorted(self.grams, edges), len(self.grams)]
+
+    def counts(self, parts: int, found: list[dict]) -> list[np.ndarray]:
+        """Training counts of the unigram, bigram and trigram that each token ends."""
+        n, cut = np.zeros(len(self.grams), np.uint64), self.cuts(parts)
+        for x in found:
+            n[cut[x["part"]] : cut[x["part"] + 1]] = unpack(x["n"])
+        n = n[self.which]
+        return [n[k * self.size : (k + 1) * self.size] for k in range(3)]
+
+
+_ROW = ("block", "rows", "lengths", "words", "at")
+
+
+def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, grams, n): the n-grams of each block that a part owns, and their training counts there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                block = Block(row)
+                cut = block.cuts(parts)
+                which = np.flatnonzero(np.diff(cut)).tolist()
+                grams = [pack_sorted(block.grams[cut[p] : cut[p + 1]]) for p in which]
+                n = [pack(block.own[cut[p] : cut[p + 1]]) for p in which]
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([row["block"]] * len(which), pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], ["part", "block", "grams", "n"])
+
+    return blocks.select(*_ROW).mapInArrow(trimmed(run), "part int, block long, grams binary, n binary")
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """(block, part, n): the counts over all blocks, in the order of each block's n-grams; rows without a block have, for the words of a part, counts and how many words have each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        got = [unpack_sorted(r["grams"]) for r in rows]
+        ends = np.cumsum([len(x) for x in got])
+        grams, n = np.concatenate(got), np.concatenate([unpack(r["n"]) for r in rows]).astype(np.int64)
+        del got
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        total = np.add.reduceat(n[order], first)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
+        is_word = (grams[first] & _LOW) == 1
+        value, times = np.unique(total[is_word & (total > 0)], return_counts=True)
+        part = rows[0]["part"]
+        out = [(r["block"], part, pack(x)) for r, x in zip(rows, np.split(back, ends[:-1]), strict=True)]
+        out.append((None, part, pack(np.r_[value, times])))
+        block, part, n = zip(*out, strict=True)
+        return pa.table([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.binary())], ["block", "part", "n"])
+
+    return parts.groupBy("part").applyInArrow(run, "block long, part int, n binary")
+
+
+def spectrum(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts that occur among the words of the training texts, and how many words have each."""
 
-def _before(x: np.ndarray, doc: np.ndarray, end: np.generic) -> np.ndarray:
-    """Contexts of all tokens x, hashes or numbers; the first of a text follows an end."""
-    before = np.r_[end, x[:-1]]
-    before[np.r_[True, doc[1:] != doc[:-1]]] = end
-    return before
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [unpack(x.as_py()).astype(np.int64).reshape(2, -1) for x in b.column(0)]
+            n, m = np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(m)], ["n", "m"])
 
+    got = counts.where("block IS NULL").select("n").mapInArrow(run, "n long, m long").groupBy("n").agg(F.sum("m").alias("m")).orderBy("n").toArrow()
+    return got["n"].to_numpy(), got["m"].to_numpy()
 
-def _pairs(ids: np.ndarray, doc: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    return _before(ids, doc, v.ids(np.array([END], np.uint64))[0]), ids
 
+def counted(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """(rows, lengths, n1, n2, n3): the training counts of the n-grams that each token of a block ends."""
+    types = dict(blocks.dtypes)
 
-class Model:
-    """Mixture weights by context bucket, and what they need."""
-
-    def __init__(self, v: Vocabulary, head: np.ndarray):
-        self.v, self.head = v, head
-        # unigram against uniform: each type's occurrences with one of them held out
-        self.uniform = 1.0 / (v.types + 1)
-        types, n = (v.spectrum[0], v.spectrum[0] * v.spectrum[1]) if v.tokens else (np.zeros(1), np.zeros(1))
-        held = np.maximum(types - 1, 0) / max(v.tokens - 1, 1)
-        self.mu = 0.5
-        for _ in range(50):
-            a = self.mu * held
-            self.mu = float(np.clip((n * a / (a + (1 - self.mu) * self.uniform)).sum() / max(n.sum(), 1), 1e-4, 1 - 1e-4)) if v.tokens else 0.0
-        # log10 probability tables
-        self.weights = np.zeros(BUCKETS)
-
-    def bucket(self, count: np.ndarray) -> np.ndarray:
-        return np.clip(np.frexp(count)[1], 0, BUCKETS - 1)
-
-    def of_count(self, count: np.ndarray) -> np.ndarray:
-        """Unigram probability of words by their count."""
-        return self.mu * (count / max(self.v.tokens, 1)) + (1 - self.mu) * self.uniform
-
-    def unigram(self, ids: np.ndarray) -> np.ndarray:
-        return self.of_count(self.v.counts[ids])
-
-    def histogram_of(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Occurrences by bucket and by logarithm of bigram over unigram probability, held out of the pair's n, bin 0 for none; what EM needs of them. context and word are counts."""
-        r = np.maximum(n - 1, 0) / np.maximum(context - 1, 1) / self.of_count(word)
-        with np.errstate(divide="ignore"):
-            k = np.where(r > 0, np.clip(np.rint((np.log(r, where=r > 0, out=np.zeros_like(r)) + 20) * 10), 1, BINS - 1), 0).astype(np.int64)
-        return np.bincount(self.bucket(context) * BINS + k, times, BUCKETS * BINS)
-
-    def histogram(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return self.histogram_of(self.v.counts[before], self.v.counts[ids], n, times)
-
-    def learn(self, histogram: np.ndarray) -> None:
-        """Expectation-maximisation of each bucket's bigram weight."""
-        h = histogram.reshape(BUCKETS, BINS)
-        ratio = np.exp(np.arange(BINS) / 10 - 20)
-        ratio[0] = 0
-        w = np.full(BUCKETS, 0.5)
-        for _ in range(100):
-            part = w[:, None] * ratio / (w[:, None] * ratio + 1 - w[:, None])
-            w = np.clip((h * part).sum(1) / np.maximum(h.sum(1), 1), 1e-6, 0.999)
-        self.weights = np.where(h.sum(1) > 0, w, 0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, row in enumerate(b.to_pylist()):
+                n = Block(row).counts(parts, row["found"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(k, 1), b.column(2).slice(k, 1), *[pa.array([pack(x)], pa.binary()) for x in n]], ["rows", "lengths", "n1", "n2", "n3"])
 
-    def logs_of(self, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 of the mixture for each occurrence, n being its pair's count, context and word its words' counts."""
-        w = self.weights[self.bucket(context)]
-        return np.log10(w * (n / np.maximum(context, 1)) + (1 - w) * self.of_count(word))
+    found = counts.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("found"))
+    return blocks.join(found, "block").select(*_ROW, "found").mapInArrow(trimmed(run), f"rows {types['rows']}, lengths binary, n1 binary, n2 binary, n3 binary")
 
-    def logs(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.logs_of(self.v.counts[before], self.v.counts[ids], n)
 
+def bucket(count: np.ndarray) -> np.ndarray:
+    return np.clip(np.frexp(count.astype(np.float64))[1], 0, BUCKETS - 1)
 
-def head_pairs(docs: DataFrame, shared, head: int) -> np.ndarray:
-    """Counts of pairs of the HEAD most frequent words over training rows; a task sends what it met, summed by pair."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        head = v.head
-        total = np.zeros(head * head, np.int64)
-        for b in batches:
-            at, data = buffers(b.column(0))
-            for i, j in chunks(at, CHUNK):
-                h, doc = _tokens(at[i : j + 1], data)
-                before, ids = _pairs(v.ids(h), doc, v)
-                near = (before < head) & (ids < head)
-                total += np.bincount(before[near] * head + ids[near], minlength=head * head)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
+class Counts:
+    """What a row of counted() has: counts as doubles, with those of the contexts, and the first token of each text."""
 
-    got = docs.where("train").select("text").mapInArrow(trimmed(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(head * head, np.int64)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(head, head)
+    def __init__(self, row: dict):
+        self.lengths = unpack(row["lengths"]).astype(np.int64)
+        self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        self.n1, self.n2, self.n3 = (unpack(row[k]).astype(np.float64) for k in ("n1", "n2", "n3"))
+        ends = self.n1[self.first + self.lengths - 1]  # a text follows an end, and two ends
+        self.c1, self.c2 = np.r_[0.0, self.n1[:-1]], np.r_[0.0, self.n2[:-1]]
+        self.c1[self.first] = self.c2[self.first] = ends
+        self.train = np.repeat(np.array([r["train"] for r in row["rows"]], bool), self.lengths)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """64-bit integers, best sorted, as differences, byte planes apart, compressed; nothing for none."""
-    if not len(x):
-        return b""
-    d = np.diff(x, prepend=np.uint64(0))
-    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+def em(bucket_of: np.ndarray, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each bucket's weight of a distribution that is ratio times as likely as the one it is mixed with, for n occurrences each."""
+    total = np.bincount(bucket_of, n, BUCKETS)
+    w = np.full(BUCKETS, 0.5)
+    for _ in range(ROUNDS):
+        x = w[bucket_of] * ratio
+        w = np.clip(np.bincount(bucket_of, n * (x / (x + 1 - w[bucket_of])), BUCKETS) / np.maximum(total, 1), 1e-9, 0.999)
+    return np.where((total > 0) & (w > 1e-8), w, 0.0)
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    if not x:
-        return np.zeros(0, np.uint64)
-    d = np.frombuffer(zstd.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(d.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+class Model:
+    """Mixture weights: mu of the unigram against the uniform share, by bucket those of bigrams and of trigrams."""
+
+    def __init__(self, value: np.ndarray, times: np.ndarray):
+        """From the counts that occur among words and how many words have each."""
+        n = (value * times).astype(np.float64)
+        self.tokens, self.types = int(n.sum()), int(times.sum())
+        self.uniform = 1.0 / (self.types + 1)
+        ratio = np.maximum(value - 1, 0) / max(self.tokens - 1, 1) / self.uniform
+        self.mu = min(max(float(em(np.zeros(len(n), np.int64), ratio, n)[0]), 1e-4), 1 - 1e-4) if self.tokens else 0.0
+        self.pairs = self.triples = np.zeros(BUCKETS)
+
+    def unigram(self, n1: np.ndarray, out: int = 0) -> np.ndarray:
+        """Probability of words by their count, out occurrences held out."""
+        return self.mu * (np.maximum(n1 - out, 0) / max(self.tokens - out, 1)) + (1 - self.mu) * self.uniform
+
+    def cells(self, c: Counts) -> np.ndarray:
+        """For each training token, held out of all counts, one number for both buckets and the bins of both ratios."""
+        k = c.train
+        p = self.unigram(c.n1[k], 1)
+
+        def binned(n: np.ndarray, context: np.ndarray) -> np.ndarray:
+            r = np.maximum(n - 1, 0) / np.maximum(context - 1, 1) / p
+            logs = np.log(r, where=r > 0, out=np.zeros_like(r))
+            return np.where(r > 0, np.clip(np.rint((logs - LEAST) * STEPS) + 1, 1, BINS - 1), 0).astype(np.int64)
+
+        return ((bucket(c.c2[k]) * BUCKETS + bucket(c.c1[k])) * BINS + binned(c.n3[k], c.c2[k])) * BINS + binned(c.n2[k], c.c1[k])
+
+    def learn(self, cell: np.ndarray, n: np.ndarray) -> None:
+        """The weights of bigrams, then of trigrams against the mixture of bigram and unigram."""
+        ratio = np.exp((np.arange(BINS) - 1) / STEPS + LEAST)
+        ratio[0] = 0
+        rest, k2 = np.divmod(cell, BINS)
+        rest, k3 = np.divmod(rest, BINS)
+        b3, b2 = np.divmod(rest, BUCKETS)
+        n = n.astype(np.float64)
+        pair = np.bincount(b2 * BINS + k2, n, BUCKETS * BINS)
+        at = np.flatnonzero(pair)
+        self.pairs = em(at // BINS, ratio[at % BINS], pair[at])
+        lower = self.pairs[b2] * ratio[k2] + 1 - self.pairs[b2]
+        self.triples = em(b3, ratio[k3] / lower, n)
+
+    def logs(self, c: Counts) -> np.ndarray:
+        """log10 of each token's probability."""
+        p = self.unigram(c.n1)
+        for n, context, weights in ((c.n2, c.c1, self.pairs), (c.n3, c.c2, self.triples)):
+            w = weights[bucket(context)]
+            p = w * (n / np.maximum(context, 1)) + (1 - w) * p
+        return np.log10(p)
+
+
+def histogram(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of all training tokens, and how many are in each; the number of cells doesn't grow with the texts."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                cell, n = np.unique(shared.value.cells(Counts(row)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-def packed(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """(part, block, keys, train, loose) of all rows: occurrences of pairs outside the dense table, as pair << 16 | row of the block, and loose ones.
+    got = counts.mapInArrow(trimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return got["cell"].to_numpy(), got["n"].to_numpy()
 
-    Pairs go to parts by hash; train has a bit for each row of the block. Loose are pairs with a word that has no number
-    but may be known: both hashes and the row. Those of one context without a number go to one part.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for b in batches:
-            rid, train = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            at, data = buffers(b.column(2))
-            keys: list[np.ndarray] = []
-            loose: list[np.ndarray] = []
-            for i, j in chunks(at, CHUNK):
-                h, doc = _tokens(at[i : j + 1], data)
-                before, ids = _pairs(v.ids(h), doc, v)
-                far = (before >= v.head) | (ids >= v.head)
-                if not v.complete:
-                    free = (before == v.rare) | (ids == v.rare)
-                    far &= ~free
-                    c, w = _before(h, doc, END)[free], h[free]
-                    to = np.where(before[free] == v.rare, mixed(c ^ SALT), mixed(mixed(c) + w)) % np.uint64(parts)
-                    loose.append(np.stack([to, c, w, (doc[free] + i).astype(np.uint64)]))
-                pair = before[far].astype(np.uint64) << np.uint64(21) | ids[far].astype(np.uint64)
-                keys.append(pair << np.uint64(16) | (doc[far] + i).astype(np.uint64))
-            if not keys:
-                continue
-            key = np.concatenate(keys)
-            part = (mixed(key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key, part))
-            key, part = key[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            free = np.concatenate(loose, 1) if loose else np.zeros((4, 0), np.uint64)
-            free = free[:, np.lexsort((free[2], free[1], free[0]))]
-            cut_free = np.searchsorted(free[0], np.arange(parts + 1, dtype=np.uint64))
-            which = [p for p in range(parts) if cut[p + 1] > cut[p] or cut_free[p + 1] > cut_free[p]]
-            bits = np.packbits(train).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(which, pa.int32()), pa.array([int(rid[0])] * len(which), pa.int64()), pa.array([_pack(key[cut[p] : cut[p + 1]]) for p in which], pa.binary()), pa.array([bits] * len(which), pa.binary()),
-                    pa.array([_pack(free[1:, cut_free[p] : cut_free[p + 1]].reshape(-1)) for p in which], pa.binary()),
-                ],
-                ["part", "block", "keys", "train", "loose"],
-            )
-
-    return docs.select("rid", "train", "text").mapInArrow(trimmed(run), "part int, block long, keys binary, train binary, loose binary")
-
-
-def _firsts(*sorted_by: np.ndarray) -> np.ndarray:
-    """Where a new run of equal values begins."""
-    if not len(sorted_by[0]):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])])
-
-
-def _loose(rows: list, v: Vocabulary) -> tuple[np.ndarray, ...]:
-    """All loose occurrences of a part: word, its count (-1 where unknown here), the context's, the pair's, whether in training, number of the block, row."""
-    got = [_unpack(r[4]).reshape(3, -1) for r in rows]
-    where = np.repeat(np.arange(len(got), dtype=np.int64), [x.shape[1] for x in got])
-    c, w, row = np.concatenate(got, 1)
-    row = row.astype(np.int64)
-    train = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[x[2].astype(np.int64)] for r, x in zip(rows, got, strict=True)]).astype(np.int64)
-    order = np.lexsort((w, c))
-    c, w, row, where, train = c[order], w[order], row[order], where[order], train[order]
-    if not len(c):
-        return w, np.zeros(0), np.zeros(0), np.zeros(0), train, where, row
-    first = _firsts(c, w)
-    n = np.repeat(np.add.reduceat(train, first), np.diff(np.r_[first, len(c)]))
-    first = _firsts(c)
-    ids = v.ids(c)
-    context = np.where(ids == v.rare, np.repeat(np.add.reduceat(train, first), np.diff(np.r_[first, len(c)])), v.counts[ids])
-    ids = v.ids(w)
-    return w, np.where(ids == v.rare, -1.0, v.counts[ids]), context.astype(np.float64), n.astype(np.float64), train, where, row
-
-
-def _to_words(rows: list, v: Vocabulary, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, occurrences) of the loose occurrences whose word has no number, by that word."""
-    w, count, context, n, train, where, row = _loose(rows, v)
-    k = np.flatnonzero(count < 0)
-    block = np.array([r[1] for r in rows], np.uint64)[where[k]]
-    to = mixed(w[k] ^ SALT) % np.uint64(parts)
-    all_ = np.stack([w[k], context[k].astype(np.uint64), n[k].astype(np.uint64), block, (row[k] << 1 | train[k]).astype(np.uint64)])
-    order = np.lexsort((w[k], to))
-    all_, to = all_[:, order], to[order]
-    cut = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        yield p, _pack(all_[:, cut[p] : cut[p + 1]].reshape(-1))
-
-
-def _of_words(rows: list[bytes]) -> tuple[np.ndarray, ...]:
-    """All occurrences of a part of words: the word's count, the context's, the pair's, whether in training, block, row."""
-    w, context, n, block, last = np.concatenate([_unpack(x).reshape(5, -1) for x in rows], 1)
-    order = np.argsort(w, kind="stable")
-    w, context, n, block, last = w[order], context[order].astype(np.float64), n[order].astype(np.float64), block[order].astype(np.int64), last[order].astype(np.int64)
-    first = _firsts(w)
-    count = np.repeat(np.add.reduceat(last & 1, first), np.diff(np.r_[first, len(w)]))
-    return count.astype(np.float64), context, n, last & 1, block, last >> 1
-
-
-def _runs(rows: list) -> tuple[np.ndarray, ...]:
-    """All occurrences of a part, by pair: context, word, the pair's training count, whether in training, number of the block, row."""
-    got = [_unpack(r[2]) for r in rows]
-    key = np.concatenate(got)
-    where = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in got])
-    train = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[(x & np.uint64(0xFFFF)).astype(np.int64)] for r, x in zip(rows, got, strict=True)])
-    del got
-    order = np.argsort(key >> np.uint64(16), kind="stable")
-    key, where, train = key[order], where[order], train[order]
-    del order
-    pair = key >> np.uint64(16)
-    first = _firsts(pair)
-    n = np.add.reduceat(train.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(pair)])
-    return (pair[first] >> np.uint64(21)).astype(np.int64), (pair[first] & np.uint64((1 << 21) - 1)).astype(np.int64), n, size, where, (key & np.uint64(0xFFFF)).astype(np.int32)
-
-
-def _deal(block: int) -> int:
-    """Evenly, whatever steps the numbers of blocks take."""
-    return (block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
-
-
-def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), part_bytes: int = PART_BYTES) -> DataFrame:
     """docs (keys, text, train) to keys, train, n_tokens, n_known, train_tokens, base_score, score, from whole texts.
 
     A null text is empty: one end. train null counts as false. Repeated rows are scored, and counted, each. Without
-    training rows all words are unknown and every token costs the uniform share. An empty table gives no rows.
-    Columns besides keys, text and train aren't read.
+    training rows all words are unknown and every token costs the uniform share. An empty table gives no rows. A very
+    long text is a block of its own and takes some hundred times its bytes while its n-grams are sorted. Columns besides
+    keys, text and train aren't read.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark, BLOCK_DOCS)
-    docs = docs.select(*keys, "text", F.coalesce("train", F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("rid"))
-    counts, _ = stored(unigrams(docs), "words")
-    v = vocabulary(counts, limit, head)
-    shared = spark.sparkContext.broadcast(v)
-    model = Model(v, head_pairs(docs, shared, head))
-
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # a part is held in memory, some ten times over
-    blocks = packed(docs, shared, parts).rdd.map(lambda r: (r[0], (r[0], r[1], bytes(r[2]), bytes(r[3]), bytes(r[4])))).partitionBy(parts, lambda p: p).values()
-    bare = spark.sparkContext.broadcast(model)
-
-    of_words = None if v.complete else blocks.mapPartitions(trimmed(lambda rows: _to_words(rows, bare.value.v, parts) if (rows := list(rows)) else ())).partitionBy(parts, lambda p: p).values()
-
-    def learn(rows: Iterator) -> Iterator[np.ndarray]:
-        rows = list(rows)
-        if rows:
-            m = bare.value
-            before, ids, n, *_ = _runs(rows)
-            out = m.histogram(before, ids, n, n)
-            if not m.v.complete:
-                _, count, context, n, train, *_ = _loose(rows, m.v)
-                own = count >= 0
-                out = out + m.histogram_of(context[own], count[own], n[own], train[own])
-            yield out
-
-    def learn_words(rows: Iterator) -> Iterator[np.ndarray]:
-        rows = list(rows)
-        if rows:
-            count, context, n, train, *_ = _of_words(rows)
-            yield bare.value.histogram_of(context, count, n, train)
-
-    none = np.zeros(BUCKETS * BINS)
-    seen = blocks.mapPartitions(trimmed(learn)).treeReduce(np.add) if v.tokens else none
-    if of_words is not None:
-        seen = seen + of_words.mapPartitions(trimmed(learn_words)).treeAggregate(none, np.add, np.add)
-    a, b = np.nonzero(model.head)
-    model.learn(seen + model.histogram(a, b, model.head[a, b], model.head[a, b]))
-    final = spark.sparkContext.broadcast(model)
-
-    def far(rows: Iterator) -> Iterator[tuple[int, tuple[bool, bytes]]]:
-        rows = list(rows)
-        if rows:
-            m = final.value
-            before, ids, n, size, where, row = _runs(rows)
-            logs = np.repeat(m.logs(before, ids, n.astype(np.float64)), size)
-            sums = np.bincount(where.astype(np.int64) * BLOCK_DOCS + row, logs, len(rows) * BLOCK_DOCS)
-            if not m.v.complete:
-                _, count, context, n, _, where, row = _loose(rows, m.v)
-                own = count >= 0
-                sums = sums + np.bincount(where[own] * BLOCK_DOCS + row[own], m.logs_of(context[own], count[own], n[own]), len(rows) * BLOCK_DOCS)
-            for r, own in zip(rows, sums.reshape(-1, BLOCK_DOCS), strict=True):
-                yield r[1], (False, zlib.compress(own[: len(r[3]) * 8].astype(np.float32).tobytes(), 1))
-
-    def far_words(rows: Iterator) -> Iterator[tuple[int, tuple[bool, bytes]]]:
-        """By block the sums of scores, of known words and of their base scores."""
-        rows = list(rows)
-        if rows:
-            count, context, n, _, block, row = _of_words(rows)
-            logs, known, base = final.value.logs_of(context, count, n), (count > 0).astype(np.float64), np.log10(count + 1)
-            order = np.argsort(block, kind="stable")
-            for own in np.split(order, _firsts(block[order])[1:]):
-                sums = np.concatenate([np.bincount(row[own], x[own], BLOCK_DOCS) for x in (logs, known, base)])
-                yield int(block[own[0]]), (True, zlib.compress(sums.tobytes(), 1))
-
-    def by_row(rows: Iterator[tuple[int, tuple[bool, bytes]]]) -> Iterator[tuple[int, float, int, float]]:
-        found: dict[int, np.ndarray] = {}
-        for block, (of_words, y) in rows:
-            y = np.frombuffer(zlib.decompress(y), np.float64 if of_words else np.float32)
-            found.setdefault(block, np.zeros(3 * BLOCK_DOCS))[: len(y)] += y
-        for block, x in found.items():
-            score, known, base = x.reshape(3, -1)
-            for i in np.flatnonzero(score).tolist():
-                yield block + i, float(score[i]), round(known[i]), float(base[i])
-
-    every = blocks.mapPartitions(trimmed(far))
-    if of_words is not None:
-        every = every.union(of_words.mapPartitions(trimmed(far_words)))
-    summed = every.partitionBy(parts, _deal).mapPartitions(trimmed(by_row))
-    pairs = spark.createDataFrame(summed, "rid long, far double, more long, add double")
-
-    names = [*keys, "train", "rid", "n_tokens", "n_known", "base", "near"]
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = final.value
-        v = m.v
-        cost = math.log10((v.tokens + 1)) + math.log10(v.types + 1)
-        with np.errstate(divide="ignore"):
-            table = m.logs(*np.divmod(np.arange(head * head), head), m.head.reshape(-1).astype(np.float64)) if len(v.n) else np.zeros(head * head)
+    small_batches(spark)
+    docs = docs.select(*keys, "text", F.coalesce("train", F.lit(False)).alias("train"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes)), MAX_PARTS)
+    blocks, blocks_at = stored(tokens(docs, keys), "tokens")
+    small_batches(spark, 4)
+    counts, counts_at = stored(added(dealt(blocks, parts)), "counts")
+    model = Model(*spectrum(counts))
+    of_tokens, of_tokens_at = stored(counted(blocks, counts, parts), "counted")
+    model.learn(*histogram(of_tokens, model))
+    shared = spark.sparkContext.broadcast(model)
+    names = [*keys, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        cost = np.log10(m.tokens + m.types + 1)
         for b in batches:
-            k = len(keys)
-            at, data = buffers(b.column(k))
-            n_tokens, n_known, base, here = (np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b)), np.zeros(len(b)))
-            for i, j in chunks(at, CHUNK):
-                h, doc = _tokens(at[i : j + 1], data)
-                ids, size = v.ids(h), j - i
-                before, _ = _pairs(ids, doc, v)
-                known = ids < v.rare
-                both = (before < head) & (ids < head)
-                n_tokens[i:j] = np.bincount(doc, minlength=size)
-                n_known[i:j] = np.bincount(doc, known, size).astype(np.int64)
-                base[i:j] = np.bincount(doc, np.where(known, np.log10(np.where(known, v.counts[ids], 0) + 1), 0) - cost, size)
-                here[i:j] = np.bincount(doc[both], table[before[both] * head + ids[both]], size)
-            kept = [b.column(c) for c in range(k)]
-            yield pa.RecordBatch.from_arrays([*kept, b.column(k + 1), b.column(k + 2), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(here)], names)
+            for k, row in enumerate(b.to_pylist()):
+                c = Counts(row)
+                sums = [np.add.reduceat(x, c.first) for x in ((c.n1 > 0).astype(np.int64), np.log10(c.n1 + 1) - cost, m.logs(c))]
+                kept = b.column(0).slice(k, 1).flatten().flatten()
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(c.lengths), pa.array(sums[0]), pa.array(np.full(len(c.lengths), m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
 
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", train boolean, rid long, n_tokens long, n_known long, base double, near double"
-    scored = docs.select(*keys, "text", "train", "rid").mapInArrow(trimmed(near), schema)
-    zero = F.lit(0.0)
-
-    def plus(x: str, y: str) -> Column:
-        return F.col(x) + F.coalesce(F.col(y), zero)
-
-    return scored.join(pairs, "rid", "left").select(
-        *keys, "train", "n_tokens", (F.col("n_known") + F.coalesce(F.col("more"), F.lit(0))).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), plus("base", "add").alias("base_score"), plus("near", "far").alias("score")
-    )
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out, _ = stored(of_tokens.select("rows", "lengths", "n1", "n2", "n3").mapInArrow(trimmed(run), schema), "scored")
+    removed(spark, blocks_at, counts_at, of_tokens_at)
+    return out
