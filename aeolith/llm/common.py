@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
 _BASE, _CHUNK = 0x9E3779B97F4A7C15 | 1, 1 << 21
@@ -59,6 +60,20 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Of rows (doc_id, group, any more) the most rows of each group with the least hashes of doc_id, ties by doc_id, and their rank.
+
+    Groups are few and may be large: their counts give a bound of the hash that about twice as many rows pass, and only
+    those are ranked. That fewer pass than wanted has a chance below e**-(most / 6): the sample is then that much smaller.
+    """
+    h = F.xxhash64("doc_id")
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(group).orderBy(h, "doc_id")
+    share = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("_n"))
+    few = rows.join(F.broadcast(sizes), F.col(group) == F.col("_g")).where((h.cast("double") / 2.0**64 + 0.5 < share) | (share >= 1.0)).drop("_g", "_n")
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

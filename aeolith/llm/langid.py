@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-A text is encoded once with each language's zstandard dictionary of raw content; the smallest frame names the
-language. Narrow margins are rejected. Dictionaries are cut from a bounded sample of labelled rows.
+A text is encoded with each language's zstandard dictionary of raw content; the smallest frame names the language.
+Narrow margins are rejected. Dictionaries are made of a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows a language, those with the least hash of doc_id; of each at most PIECE characters from its start; bytes of a dictionary.
-SAMPLE_ROWS, PIECE, DICT_BYTES = 300, 2000, 128 * 1024
-LEVEL = 3
-#: Texts up to so many bytes, of which a frame tells little, are encoded again in finer ways, and the sizes added up.
-SHORT, FINER = 600, (19, 22)
+from aeolith.llm.common import sampled, small_batches
+
+#: Labelled rows a language that are looked at, those with the least hash of doc_id; bytes of a dictionary; the share of it that one text may fill.
+SAMPLE_ROWS, DICT_BYTES, TEXT_SHARE = 300, 128 * 1024, 8
+#: A text is encoded twice in one frame: where it saves too little, as a few words do, a frame stays raw and tells nothing; a repeat always saves.
+LEVEL, TIMES = 6, 2
 #: The second smallest frame must be larger by this share and by this many bytes.
 MIN_MARGIN, MIN_BYTES = 0.001, 1
 UNDETERMINED = "und"
@@ -30,20 +31,24 @@ def plain(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """Dictionaries from labelled (doc_id, text, lang). Rows without text or lang teach nothing; ties of the hash go by doc_id.
+    """Dictionaries from labelled (doc_id, text, lang). Rows without text or lang teach nothing.
 
-    What reaches the driver is bounded by languages times rows times PIECE characters.
+    Of the sampled rows of a language, in the order of their hashes, whole texts fill its dictionary: first those that
+    take a TEXT_SHARE-th of it at most, then longer ones; the last is cut where the dictionary ends. Only texts that
+    reach it come to the driver, so what it holds is bounded by languages times DICT_BYTES and one text each.
     """
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows).select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", 1, PIECE).alias("text"))
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("size"))
+    long = (F.col("size") > DICT_BYTES // TEXT_SHARE).alias("long")
+    order = Window.partitionBy("lang").orderBy("long", "rank")
+    picked = sampled(known, "lang", rows).select("*", long).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    picked = picked.where(F.col("before") < DICT_BYTES).select("doc_id", "lang", "long", "rank").dropDuplicates(["doc_id", "lang"])
+    texts = labelled.where("text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, DICT_BYTES).alias("text")).join(F.broadcast(picked), ["doc_id", "lang"])
     found: dict[str, list[tuple]] = {}
     for r in texts.collect():
-        found.setdefault(r.lang, []).append((r.doc_id, r.text))
+        found.setdefault(r.lang, []).append((r.long, r["rank"], r.text))
     dicts = {}
     for lang, own in sorted(found.items()):
-        data = b"\n".join(plain(t) for _, t in sorted(own)[: rows * 2])[:DICT_BYTES]
+        data = b"\n".join(plain(t) for _, _, t in sorted(own))[:DICT_BYTES]
         if len(data) >= 8:  # zstandard's least
             dicts[lang] = data
     return dicts
@@ -55,22 +60,17 @@ class Classifier:
     def __init__(self, dicts: dict[str, bytes], level: int = LEVEL):
         import zstandard as zstd
 
-        def tool(data: bytes, level: int) -> zstd.ZstdCompressor:
+        def tool(data: bytes) -> zstd.ZstdCompressor:
             d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             return zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False)
 
         self.langs = list(dicts)
-        self.tools = [tool(data, level) for data in dicts.values()]
-        self.finer = [[tool(data, k) for k in FINER] for data in dicts.values()]
+        self.tools = [tool(data) for data in dicts.values()]
 
     def sizes(self, text: str) -> list[int]:
-        data = plain(text)
-        sizes = [len(t.compress(data)) for t in self.tools]
-        if len(data) <= SHORT:
-            data = (b" " + data) * 4  # a frame that saves too little stays raw and tells nothing; repeats always save
-            sizes = [s + sum(len(t.compress(data)) for t in own) for s, own in zip(sizes, self.finer, strict=True)]
-        return sizes
+        data = (b" " + plain(text)) * TIMES
+        return [len(t.compress(data)) for t in self.tools]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (share of its code among all languages' codes), and whether the margin is too narrow."""
@@ -86,11 +86,9 @@ class Classifier:
 def identify(docs: DataFrame, dicts: dict[str, bytes], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' columns and lang_pred, score, rejected, from whole texts.
 
-    A null text or one without a letter is ``und`` with score 0 and rejected; so is any text if no language was learned.
+    All texts, short or very long, are encoded by one rule. A null text or one without a letter is ``und`` with score 0 and rejected; so is any text if no language was learned.
     Equal sizes go to the language that sorts first. An empty table gives no rows. Only the named columns and text are read.
     """
-    from aeolith.llm.common import small_batches
-
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
 

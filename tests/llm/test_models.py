@@ -61,7 +61,7 @@ def test_neighbours_are_exact():
         dense[i, t] = w
     tested = 0
     for text in list(docs.values())[:300]:
-        t, w = index.vector(toxicity.terms(text, index.vocabulary))
+        t, w = index.vector(toxicity.terms(text))
         if len(t):
             tested += 1
             near, cosine = index.nearest(t, w)
@@ -82,3 +82,25 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs, none).where(F.col("predicted") == 1).count() == 0
     assert toxicity.score(docs.limit(0), index).count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).count() == 63
+
+
+def test_language_against_encoding_by_hand(spark):
+    """Predictions of short, middling and very long texts are those of one rule: least frame of the text twice over."""
+    import zstandard as zstd
+
+    dicts = {"aa": b"alpha beta gamma delta epsilon " * 40, "bb": b"uno dos tres cuatro cinco seis " * 40, "cc": b"alpha dos gamma cuatro " * 40}
+    texts = ["alpha", "dos tres", "alpha dos beta", "gamma cuatro " * 30, "beta " * 300_000, "uno dos alpha " * 1000, "zzz"]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dicts).collect()}
+    for i, t in enumerate(texts):
+        data = (b" " + " ".join(t.split()).encode() + (b" " if t[-1] == " " else b"")) * 2
+        sizes = sorted((len(zstd.ZstdCompressor(level=langid.LEVEL, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False).compress(data)), lang) for lang, d in dicts.items())
+        assert got[i].lang_pred == sizes[0][1] and got[i].rejected == (sizes[1][0] - sizes[0][0] < max(1, 0.001 * sizes[0][0])), t
+
+
+def test_dictionaries_are_whole_texts_of_the_sample(spark):
+    rows = [(i, f"word{i} " * (5000 if i % 10 == 0 else 20), "en") for i in range(1000)] + [(5000 + i, "mot " * 40_000, "fr") for i in range(3)]
+    dicts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert set(dicts) == {"en", "fr"} and all(len(d) <= langid.DICT_BYTES for d in dicts.values())
+    first = dicts["en"].split(b"\n")
+    assert len(first) >= 80 and all(t.split() == [t.split()[0]] * 20 for t in first if len(t) < 2000 and len(t.split()) == 20)
+    assert len(dicts["fr"]) == langid.DICT_BYTES  # there are only long texts: one, cut at the dictionary's end
