@@ -49,7 +49,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    index = toxicity.fit(docs.where(bucket(3) != 1), labels.where(bucket(3) != 1))
+    index = toxicity.fit(docs.where(bucket(3) != 1), labels.where(bucket(3) != 1), corpus=docs)
     found = toxicity.score(docs, index)
     return found.select("doc_id", F.coalesce(bucket(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 

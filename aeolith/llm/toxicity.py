@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of labelled rows. Terms are words and beginnings of words that tell the labels apart.
-The index keeps, for each term and block of examples, the largest weight; blocks are scored from the highest bound
-down until no block can better the k-th neighbour, so neighbours are exact. Votes weighted by similarity are
-calibrated on the examples themselves, each left out in turn.
+Examples are a bounded sample of labelled rows. Terms are all their words; document frequencies come from all
+documents. A word's weight is TF-IDF times how well it tells the labels apart on the examples: by TF-IDF alone the
+nearest texts are those on the same matter, toxic or not. No word is left out, neither of the product nor of the norms.
+
+The index keeps, for each term and block of examples, the largest weight. Blocks are opened from the highest bound
+down, and their postings read, until no other block can better the k-th neighbour, so neighbours are exact. Votes
+weighted by similarity are calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -14,117 +17,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Examples a class, those with the least hash of doc_id; terms kept; lengths of words' beginnings.
-SAMPLE_ROWS, TERMS, STEMS = 1500, 8192, range(3, 9)
-MIN_DF, MIN_CHI2 = 4, 15.0
-#: Neighbours, examples of a block, blocks scored before bounds are compared.
-K, BLOCK, FIRST_BLOCKS = 15, 64, 8
+from aeolith.llm.common import sampled, small_batches
+
+#: Examples a class, those with the least hash of doc_id.
+SAMPLE_ROWS = 1500
+#: Chi-square beyond which a word's weight grows no more, and the share of the weight that every word has.
+MOST_CHI2, FLOOR = 200.0, 0.01
+#: Neighbours, examples of a block, blocks opened at once.
+K, BLOCK, OPENED = 15, 64, 6
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, known: dict | None = None, heads: frozenset | None = None) -> Counter:
-    """Counts of words and of beginnings of longer words (``abc*``), and ``abc*+`` for one met twice or more.
-
-    known leaves out beginnings that aren't in it; heads are the first letters of those that are.
-    """
-    words = Counter(_WORD.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for w, n in words.items():
-        if heads is not None and w[: STEMS[0]] not in heads:
-            continue
-        for k in STEMS:
-            if len(w) <= k:
-                break
-            stem = w[:k] + "*"
-            if known is None or stem in known or stem + "+" in known:
-                stems[stem] += n
-    words.update(stems)
-    words.update({t + "+": 1 for t, n in stems.items() if n > 1})
-    return words
+def terms(text: str | None) -> Counter:
+    """Counts of words, lower-cased."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple]:
     """(doc_id, text, toxic) of at most rows examples a class; a doc_id counts once, toxic if any of its rows is. Only the picked ids, a bounded number, meet the texts."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows).select("doc_id", "toxic")
+    picked = sampled(known, "toxic", rows).select("doc_id", "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.text, r.toxic) for r in texts.collect())
 
 
+def frequencies(docs: DataFrame, examples: list[tuple]) -> tuple[dict[str, int], int]:
+    """In how many of all documents each word of the examples occurs, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted({t for x in examples for t in terms(x[1])}))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, n = shared.value, np.zeros(len(shared.value), np.int64), 0
+        for b in batches:
+            n += len(b)
+            for t in b.column(0):
+                found = [i for w in set(_WORD.findall((t.as_py() or "").lower())) if (i := known.get(w)) is not None]
+                total[found] += 1
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, -1]), pa.array(np.r_[total[k], n])], ["term", "n"])
+
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    found = dict(zip(got["term"], got["n"], strict=True))
+    return {t: found.get(i, 0) for t, i in shared.value.items()}, found.get(-1, 0)
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    size = ends - starts
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size - starts, size), which
+
+
 class Index:
-    """The examples' vectors as an inverted index with block maxima, and the calibration of votes."""
+    """The examples' vectors as an inverted index with block maxima, and the calibration of votes.
 
-    def __init__(self, examples: list[tuple], prior: float | None = None, k: int = K):
+    df and documents are the frequencies of words among all documents; without them those among the examples serve.
+    """
+
+    def __init__(self, examples: list[tuple], prior: float | None = None, k: int = K, df: dict[str, int] | None = None, documents: int = 0):
+        examples = sorted(examples, key=lambda x: (-x[2], x[0]))  # blocks of one label have closer bounds
         self.k, self.ids = k, np.array([x[0] for x in examples], np.int64)
         self.label = np.array([x[2] for x in examples], np.float64)
         counts = [terms(x[1]) for x in examples]
         n, pos = len(examples), float(self.label.sum())
-        df, tox = Counter(), Counter()
+        here, tox = Counter(), Counter()
         for c, y in zip(counts, self.label, strict=True):
-            df.update(c.keys())
+            here.update(c.keys())
             if y:
                 tox.update(c.keys())
+        self.vocabulary = {t: i for i, t in enumerate(sorted(here))}
+        d, a = (np.array([x[t] for t in self.vocabulary], np.float64) for x in (here, tox))
+        every = np.array([max((df or here)[t], here[t]) for t in self.vocabulary], np.float64)
+        expected = d * pos / max(n, 1)
+        chi2 = (a - expected) ** 2 * n / (expected * (n - pos) * (1 - d / max(n, 1)) + 1e-9) if 0 < pos < n else np.zeros(len(d))
+        chi2 = chi2 * np.where(a > expected, 1, 0.25)  # a word of clean texts tells less
+        idf = np.log((1 + max(documents, n)) / (1 + every)) + 1
+        self.weight = idf * (FLOOR + (1 - FLOOR) * np.sqrt(np.minimum(chi2, MOST_CHI2) / MOST_CHI2))
 
-        def chi2(t: str) -> float:
-            a, d = tox[t], df[t]
-            e = d * pos / n
-            return (a - e) ** 2 * n / (e * (n - pos) * (1 - d / n) + 1e-9) * (1 if a > e else 0.25)
-
-        told = sorted(((-chi2(t), t) for t, d in df.items() if MIN_DF <= d < n), key=lambda x: x) if 0 < pos < n else []
-        self.vocabulary = {t: i for i, (_, t) in enumerate([x for x in told if -x[0] >= MIN_CHI2][:TERMS])}
-        self.heads = frozenset(t[: STEMS[0]] for t in self.vocabulary if "*" in t)
-        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in self.vocabulary])
         vectors = [self.vector(c) for c in counts]
+        term, doc = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
+        order = np.lexsort((doc, term))
+        term, self.docs, self.weights = term[order], doc[order], weight[order]
+        # an entry is a term's postings in a block
+        block = self.docs // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.entry = np.r_[first, len(term)]
+        self.entry_block, self.maxima = block[first], np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.first = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
         self.blocks = -(-n // BLOCK) if n else 0
-        at = [[] for _ in self.vocabulary]
-        for i, (t, w) in enumerate(vectors):
-            for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                at[a].append((i, b))
-        self.first = np.cumsum([0, *map(len, at)])
-        flat = [x for own in at for x in own]
-        self.docs, self.weights = np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat])
-        self.maxima = np.zeros((len(at), self.blocks))
-        if flat:
-            np.maximum.at(self.maxima, (np.repeat(np.arange(len(at)), np.diff(self.first)), self.docs // BLOCK), self.weights)
         # votes of the examples, each without itself, calibrated by weighted counts in bins
         self.prior = prior if prior is not None else (pos / n if n else 0.0)
-        weight = np.where(self.label > 0, self.prior / max(pos / max(n, 1), 1e-9), (1 - self.prior) / max(1 - pos / max(n, 1), 1e-9))
+        share = np.where(self.label > 0, self.prior / max(pos / max(n, 1), 1e-9), (1 - self.prior) / max(1 - pos / max(n, 1), 1e-9))
         votes = np.array([self._vote(*self.nearest(t, w, leave=i)) if len(t) else -1.0 for i, (t, w) in enumerate(vectors)])
         self.bins = np.zeros(22)
         slot = np.where(votes < 0, 21, np.clip((votes * 20).astype(int), 0, 20)) if n else np.zeros(0, int)
-        good, every = np.bincount(slot, weight * self.label, 22), np.bincount(slot, weight, 22)
-        rate = (good[:21] + 0.5 * np.linspace(0, 1, 21)) / (every[:21] + 0.5)
-        self.bins[:21], self.bins[21] = np.maximum.accumulate(rate), (good[21] + 0.01) / (every[21] + 1)
+        good, total = np.bincount(slot, share * self.label, 22), np.bincount(slot, share, 22)
+        rate = (good[:21] + 0.5 * np.linspace(0, 1, 21)) / (total[:21] + 0.5)
+        self.bins[:21], self.bins[21] = np.maximum.accumulate(rate), (good[21] + self.prior) / (total[21] + 1)
+        self.told = 0 < pos < n
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights (1 + log tf) * idf of unit length."""
+        """Term numbers and weights (1 + log tf) * weight of unit length; words that no example has aren't counted."""
         found = [(i, n) for t, n in counts.items() if (i := self.vocabulary.get(t)) is not None]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         t, n = np.array(sorted(found)).T
-        w = (1 + np.log(n)) * self.idf[t]
+        w = (1 + np.log(n)) * self.weight[t]
         return t, w / np.sqrt((w * w).sum())
 
     def nearest(self, t: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, nearest first, ties to the smaller doc_id; none without a common term."""
-        bound = w @ self.maxima[t]
+        """Numbers and cosines of the k nearest examples, nearest first, ties to the smaller number; none without a common term."""
+        entry, which = _spread(self.first[t], self.first[t + 1])
+        own, block = w[which], self.entry_block[entry]
+        bound = np.bincount(block, self.maxima[entry] * own, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        docs = np.concatenate([self.docs[self.first[i] : self.first[i + 1]] for i in t.tolist()])
-        part = np.concatenate([self.weights[self.first[i] : self.first[i + 1]] * x for i, x in zip(t.tolist(), w.tolist(), strict=True)])
-        blocks = docs // BLOCK
-        best, done = np.zeros(0, np.int64), np.zeros(0)
         rest = order[bound[order] > 0]
+        best, done = np.zeros(0, np.int64), np.zeros(0)
+        opened = np.zeros(self.blocks, bool)
         while len(rest):
-            now, rest = (rest[:FIRST_BLOCKS], rest[FIRST_BLOCKS:]) if not len(done) else (rest, rest[:0])
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            mine = chosen[blocks]
-            sums = np.bincount(docs[mine], part[mine], len(self.ids))
+            now, rest = rest[:OPENED], rest[OPENED:]
+            opened[:] = False
+            opened[now] = True
+            mine = np.flatnonzero(opened[block])
+            at, of = _spread(self.entry[entry[mine]], self.entry[entry[mine] + 1])
+            sums = np.bincount(self.docs[at], self.weights[at] * own[mine][of], len(self.ids))
             if leave >= 0:
                 sums[leave] = 0
             hit = np.flatnonzero(sums)
@@ -132,7 +152,7 @@ class Index:
             top = np.lexsort((best, -done))[: self.k]
             best, done = best[top], done[top]
             if len(done) == self.k:
-                rest = rest[bound[rest] >= done[-1]]
+                rest = rest[bound[rest] >= done[-1] - 1e-12]
         return best, done
 
     def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -141,23 +161,24 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Calibrated score, and the doc_ids of the nearest examples as evidence."""
-        t, w = self.vector(terms(text, self.vocabulary, self.heads))
+        if not self.told:
+            return float(self.prior), []
+        t, w = self.vector(terms(text))
         near, cosine = self.nearest(t, w) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         vote = self._vote(near, cosine)
         if vote < 0:
             return float(self.bins[21]), []
-        x = vote * 20
-        return float(np.interp(x, np.arange(21), self.bins[:21])), self.ids[near[:3]].tolist()
+        return float(np.interp(vote * 20, np.arange(21), self.bins[:21])), self.ids[near[:3]].tolist()
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """docs (doc_id, text) to doc_id, score, predicted, evidence (doc_ids of the nearest examples).
 
     Null, empty and unrelated texts have no neighbours and get the rate among such examples. Without examples of both
-    labels nothing is told apart and all get the prior. An empty table gives no rows; only these columns are read.
+    labels nothing is told apart and all get the share of toxic labels. Texts are read whole, very long ones too; ties
+    of similarity go to toxic examples and then to the smaller doc_id. An empty table gives no rows; only these columns
+    are read.
     """
-    from aeolith.llm.common import small_batches
-
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -172,7 +193,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.dtypes[0][1]}, score double, predicted int, evidence array<bigint>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Index:
-    """The index from docs (doc_id, text) and labels (doc_id, toxic); the share of toxic labels is taken over all of them."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, corpus: DataFrame | None = None) -> Index:
+    """The index from docs (doc_id, text) and labels (doc_id, toxic); the share of toxic labels is taken over all of them, document frequencies over corpus, which has a text, or docs."""
+    small_batches(docs.sparkSession)
     prior = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
-    return Index(sample(docs, labels, rows), prior or 0.0)
+    examples = sample(docs, labels, rows)
+    return Index(examples, prior or 0.0, K, *frequencies(docs if corpus is None else corpus, examples))
