@@ -2,7 +2,8 @@
 
 The field splits a stretch of text around figures and at-signs into segments, each of them an entity of one type or a
 single piece outside. Features look at a segment as a whole: its shape, its number of digits, check sums, what stands
-beside it. Dynamic programming over segments of at most PIECES pieces chooses boundaries and types together. It is
+beside it. Others look at a pair: an entity's type, that of the entity before it, and whether the two touch. Dynamic
+programming over ends and types of segments of at most PIECES pieces chooses all boundaries and types together. It is
 fitted by gradient ascent on sentences made from templates, with a fixed seed, so nothing of the corpus teaches it.
 """
 
@@ -19,8 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "id")
-#: Pieces of the longest segment, pieces of context at each side of a stretch, training sentences, passes, features (hashed).
-PIECES, MARGIN, SENTENCES, PASSES, FEATURES = 13, 4, 400, 8, 1 << 14
+#: States between segments: the type of the last entity (or none yet), after it pieces outside or, touching, nothing.
+NONE = len(KINDS)
+STATES = 2 * (NONE + 1)
+#: Pieces of the longest segment (an account number of 34 characters in fours has 23 at most), training sentences, passes, features (hashed).
+PIECES, SENTENCES, PASSES, FEATURES = 24, 1000, 5, 1 << 14
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -125,11 +129,16 @@ def segments(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, l
     return out
 
 
+def outside(state: int) -> int:
+    """The state after a piece outside."""
+    return state if state > NONE else state + NONE + 1
+
+
 class Field:
-    """The weights, and decoding."""
+    """The weights, of segments by type and of pairs by state before and type, and decoding."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, pairs: np.ndarray):
+        self.weights, self.pairs = weights, pairs
 
     def stretches(self, text: str) -> Iterator[list[tuple[int, int]]]:
         """Pieces around each digit and at-sign, overlapping neighbourhoods joined."""
@@ -148,30 +157,41 @@ class Field:
             a = b + 1
 
     def decode(self, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Best segmentation: (start, kind, end) of its entities."""
+        """Best segmentation: (start, kind, end) of its entities. States before NONE + 1 are of an entity that ends right here, others of pieces outside since."""
         candidates = segments(text, pieces)
         if not candidates:
             return []
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(len(pieces) + 1)]
+        top = self.pairs.max(0)
+        ends: list[list[tuple[int, list[float]]]] = [[] for _ in range(len(pieces) + 1)]
         for i, j, f in candidates:
             s = self.weights[f].sum(0)
-            t = int(s.argmax())
-            if s[t] > 0:
-                ends[j].append((i, float(s[t]), t))
-        best, back = [0.0] * (len(pieces) + 1), [None] * (len(pieces) + 1)
-        for j in range(1, len(pieces) + 1):
-            best[j] = best[j - 1]
-            for i, s, t in ends[j]:
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, t)
-        out, j = [], len(pieces)
+            if (s + top).max() > 0:  # else leaving its pieces outside is better, whatever stands before
+                ends[j].append((i, s.tolist()))
+        n, low = len(pieces), float("-inf")
+        pairs = self.pairs.tolist()
+        best = [[low] * STATES for _ in range(n + 1)]
+        back: list[list[tuple[int, int, int] | None]] = [[None] * STATES for _ in range(n + 1)]
+        best[0][NONE + 1 + NONE] = 0.0
+        for j in range(1, n + 1):
+            now, before = best[j], best[j - 1]
+            for state in range(STATES):
+                to = outside(state)
+                if before[state] > now[to]:
+                    now[to], back[j][to] = before[state], (j - 1, state, -1)
+            for i, s in ends[j]:
+                for state in range(STATES):
+                    if best[i][state] > low:
+                        for t in range(NONE):
+                            score = best[i][state] + s[t] + pairs[state][t]
+                            if score > now[t]:
+                                now[t], back[j][t] = score, (i, state, t)
+        out, j = [], n
+        state = max(range(STATES), key=best[n].__getitem__)
         while j:
-            if back[j]:
-                i, t = back[j]
+            i, before, t = back[j][state]
+            if t >= 0:
                 out.append((pieces[i][0], t, pieces[j - 1][1]))
-                j = i
-            else:
-                j -= 1
+            j, state = i, before
         return out[::-1]
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
@@ -197,7 +217,11 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             return c if rng.random() < 0.6 else rng.choice((" ", "-")).join(c[i : i + 4] for i in range(0, len(c), 4))
         if t == 3:
             return rng.choice((f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+{d(11)}", f"{d(3)}.{d(3)}.{d(4)}"))
-        return rng.choice((f"{d(3)}-{d(2)}-{d(4)}", f"{rng.choice(('DE', 'FR', 'ES', 'GB'))}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}", f"{rng.choice(('DE', 'ES'))}{d(20)}"))
+        # account numbers: country, two check digits, 11 to 30 more, some of them letters in a few countries; joined or in fours
+        bank = rng.choice(("", "", d(4), "".join(rng.choice("ABCDEFGHIKLMNOPRSTUW") for _ in range(4))))
+        number = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(2)) + d(2) + bank + d(rng.randint(11, 26))
+        fours = " ".join(number[i : i + 4] for i in range(0, len(number), 4))
+        return rng.choice((f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", fours, fours, number))
 
     def other() -> str:
         bad = d(16)
@@ -207,7 +231,7 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     for _ in range(rng.randint(1, 3)):
         text += "".join(" " + w() for _ in range(rng.randint(0, 3))) + rng.choice((" ", ": ", " ", "\n"))
         if rng.random() < 0.55:
-            t = rng.randrange(5)
+            t = rng.randrange(5) if not spans or rng.random() < 0.5 else spans[-1][1]  # lists often are of one kind
             e = entity(t)
             spans.append((len(text), t, len(text) + len(e)))
             text += e
@@ -228,28 +252,46 @@ def fit(sentences: int = SENTENCES, passes: int = PASSES, seed: int = 7) -> Fiel
         gold = {(a, z): t for a, t, z in spans}
         if found:
             data.append((len(pieces), np.array([x[0] for x in found]), np.array([x[1] for x in found]), [np.array(x[2]) for x in found], np.array([gold.get((pieces[i][0], pieces[j - 1][1]), -1) for i, j, _ in found])))
-    weights = np.zeros((FEATURES, len(KINDS)))
+    weights, pairs = np.zeros((FEATURES, NONE)), np.zeros((STATES, NONE))
     weights[_number("bias")] = -1.0
+    after = np.array([outside(x) for x in range(STATES)])
     for p in range(passes):
         rate = 0.3 / (1 + p)
         for n, first, last, feats, gold in data:
             flat = np.concatenate(feats)
             at = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-            score = np.zeros((len(feats), len(KINDS)))
+            score = np.zeros((len(feats), NONE))
             np.add.at(score, at, weights[flat])
-            top = score.max(1)
-            total = top + np.log(np.exp(score - top[:, None]).sum(1))
-            ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
+            by_end, by_start = [np.flatnonzero(last == j) for j in range(n + 1)], [np.flatnonzero(first == i) for i in range(n + 1)]
+            ahead, behind = np.full((n + 1, STATES), -np.inf), np.full((n + 1, STATES), -np.inf)
+            ahead[0, NONE + 1 + NONE], behind[n] = 0.0, 0.0
             for j in range(1, n + 1):
-                k = np.flatnonzero(last == j)
-                ahead[j] = np.logaddexp.reduce(np.r_[ahead[j - 1], ahead[first[k]] + total[k]])
+                np.logaddexp.at(ahead[j], after, ahead[j - 1])
+                k = by_end[j]
+                if len(k):
+                    inward = np.logaddexp.reduce(ahead[first[k]][:, :, None] + pairs, axis=1) + score[k]
+                    ahead[j, :NONE] = np.logaddexp.reduce(inward, axis=0)
             for i in range(n - 1, -1, -1):
-                k = np.flatnonzero(first == i)
-                behind[i] = np.logaddexp.reduce(np.r_[behind[i + 1], behind[last[k]] + total[k]])
-            chance = np.exp(np.minimum(ahead[first][:, None] + score + behind[last][:, None] - ahead[n], 0))
-            chance[gold >= 0, gold[gold >= 0]] -= 1
-            np.add.at(weights, flat, -rate * chance[at])
-    return Field(weights)
+                behind[i] = behind[i + 1][after]
+                k = by_start[i]
+                if len(k):
+                    outward = np.logaddexp.reduce(score[k] + behind[last[k]][:, :NONE], axis=0)
+                    behind[i] = np.logaddexp(behind[i], np.logaddexp.reduce(pairs + outward, axis=1))
+            total = np.logaddexp.reduce(ahead[n])
+            chance = np.exp(np.minimum(ahead[first][:, :, None] + pairs + (score + behind[last][:, :NONE])[:, None, :] - total, 0))
+            # what the sentence has, by state before
+            state, right = NONE + 1 + NONE, {(int(first[k]), int(last[k])): k for k in np.flatnonzero(gold >= 0)}
+            i = 0
+            while i < n:
+                k = next((k for (a, _), k in right.items() if a == i), None)
+                if k is None:
+                    state, i = outside(state), i + 1
+                else:
+                    chance[k, state, gold[k]] -= 1
+                    state, i = int(gold[k]), int(last[k])
+            np.add.at(weights, flat, -rate * chance.sum(1)[at])
+            pairs -= rate * chance.sum(0)
+    return Field(weights, pairs)
 
 
 def spans(text: str | None, field: Field) -> list[tuple[int, int, int, bool]]:
@@ -265,7 +307,9 @@ def spans(text: str | None, field: Field) -> list[tuple[int, int, int, bool]]:
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """docs (doc_id, text) to doc_id and found: spans (start, end, kind, base) of the whole text, code points, end exclusive.
 
-    A null text is empty and has none; repeated rows each get theirs; an empty table gives no rows; only these columns are read.
+    A null text is empty and has none; repeated rows each get theirs; an empty table gives no rows; only these columns are
+    read. Texts are read whole: time grows with the length of what stands around figures and at-signs; a run of digits
+    or letters, however long, is one piece.
     """
     from aeolith.llm.common import small_batches
 
@@ -287,4 +331,5 @@ def digest(found: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
     added = F.size(F.filter("found", lambda x: ~x["base"])).cast("long").alias("n_added")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], added, F.sha2(joined(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), joined("found").alias("spans"))
+    every = F.size("found").cast("long").alias("n_spans")
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]], added, every, F.sha2(joined(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), joined("found").alias("spans"))
