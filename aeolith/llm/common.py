@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -60,6 +60,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
     """Of rows (doc_id, group, any more) the most rows of each group with the least hashes of doc_id, ties by doc_id, and their rank.
 

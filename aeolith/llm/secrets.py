@@ -7,11 +7,12 @@ the match, or the end of the text, so that scanning stays linear and no characte
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aeolith.llm.common import bound
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -28,11 +29,6 @@ _SPANS = "array<struct<s:int,e:int,t:string>>"
 _PACKED, _CHUNK = 12, 256
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f's lambdas use it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _rows(text: Column, pattern: str, value_group: int = 0) -> Column:
     """The text as (g, h, v): what lies before each match, the match, its value group; the last h is empty."""
     whole = F.lit(rf"(?s)(.*?)({pattern}|\z)")

@@ -1,6 +1,7 @@
 """Line dedup against exact counts."""
 
 import random
+import time
 from collections import defaultdict
 
 from aeolith.llm import line_dedup
@@ -57,3 +58,21 @@ def test_empty_and_repeated_rows(spark):
     rows = [(5, f"s{i}", "same\nown") for i in range(12)] + [(None, "s1", "same")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 13
+
+
+def test_very_many_and_very_long_lines(spark):
+    """50 000 lines, half of them boilerplate, and a line of a megabyte, on ten sites each: in time that grows with the lines."""
+    mixed = "\n".join(x for i in range(25_000) for x in (f"shared {i}", f"own {i}"))
+    rows = [(i, f"s{i}", mixed + f"\nlast {i}\n" + "y" * 1_000_000) for i in range(10)]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, site string, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].n_removed == 0 and got[0].text == rows[0][2]
+    assert all(got[i].n_lines == 50_002 and got[i].n_removed == 50_001 and got[i].text == f"last {i}" for i in range(1, 10))
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    rows = corpus()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, site string, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute(rows, 10, True)
