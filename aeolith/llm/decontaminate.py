@@ -3,21 +3,20 @@
 Every item is cut into windows of consecutive words. A window can only lie in a document that has the window's
 rarest word, so that word alone (the prefix that full containment needs) is joined with the words of the documents.
 Where it stands fixes the only place where the window can lie: bounds on position and length, then comparison of all
-its words, follow in the same stage, with no shuffle of texts. Windows are broadcast in blocks of a fixed number.
+its words, follow in the same stage, with no shuffle of texts. So it is while the windows can be broadcast; beyond,
+words and their places meet the anchors by shuffle, and only documents with a place that fits are compared.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows in a broadcast block, each some 10 words long.
-BLOCK_WINDOWS = 100_000
+#: Windows up to which they are broadcast, each some 10 words long.
+BROADCAST_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -33,44 +32,49 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return w.select(F.md5(F.array_join("w", " ")).alias("wid"), "w", "item_id").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, th, start, len, item_id): every occurrence of a window in a document; th is a hash of the text."""
     from aeolith.llm.common import stored
 
     own, _ = stored(windows(items, width), "windows")
     wins = own.select("wid", "w").distinct()
-    n = wins.count()
+    small = wins.count() <= most
+    lent = F.broadcast if small else lambda x: x
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
-    blocks = range(-(-n // block))
-    nth = F.pmod(F.xxhash64("wid"), F.lit(max(1, len(blocks))))
 
     # rarity: how often the documents have each word of the windows
-    vocabulary = wins.select(nth.alias("nth"), F.explode("w").alias("word")).distinct()
-    counts = [d.select(F.explode("words").alias("word")).join(F.broadcast(vocabulary.where(F.col("nth") == i).select("word")), "word").groupBy("word").agg(F.count("*").alias("df")) for i in blocks]
-    if not counts:
-        return d.join(own, F.lit(False)).select("doc_id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), "item_id")
-    df = reduce(DataFrame.unionAll, counts).dropDuplicates(["word"])
+    vocabulary = wins.select(F.explode("w").alias("word")).distinct()
+    counted = d.select(F.explode("words").alias("word"))
+    if small:
+        df = counted.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    else:
+        df = counted.groupBy("word").agg(F.count("*").alias("df")).join(vocabulary, "word", "left_semi")
     placed = wins.select("wid", F.posexplode("w").alias("off", "word")).join(df, "word", "left")
     first = Window.partitionBy("wid").orderBy(F.coalesce("df", F.lit(0)), "word", "off")
     anchors = placed.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("wid", "off", F.col("word").alias("anchor"))
-    anchors, _ = stored(wins.join(anchors, "wid").select("wid", "w", "anchor", "off", nth.alias("nth")), "anchors")
-
-    found = []
-    for i in blocks:
-        there = d.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "word"))
-        there = there.join(F.broadcast(anchors.where(F.col("nth") == i)), F.col("word") == F.col("anchor"))
-        start = F.col("pos") - F.col("off")
-        inside = (start >= 0) & (start + F.size("w") <= F.size("words"))
-        same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("w")) == F.col("w")
-        found.append(there.where(inside & same).select("doc_id", "th", start.alias("start"), F.size("w").alias("len"), "wid"))
-    return reduce(DataFrame.unionAll, found).join(own.select("wid", "item_id"), "wid").drop("wid")
+    anchors, _ = stored(wins.join(anchors, "wid").select("wid", "w", F.size("w").alias("len"), "anchor", "off"), "anchors")
+
+    start = (F.col("pos") - F.col("off")).alias("start")
+    at = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len"))
+    if small:
+        there = d.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(anchors), F.col("word") == F.col("anchor"))
+        there = there.select("doc_id", "th", "words", "w", "len", "wid", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("words")))
+        found = there.where(at == F.col("w")).select("doc_id", "th", "start", "len", "wid")
+    else:
+        there = d.select("doc_id", "th", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")).join(anchors.drop("w"), F.col("word") == F.col("anchor"))
+        there = there.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n", "len", "wid", start).where("start >= 0 AND start + len <= n").distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        texts = d.join(there.select("d", "t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "th"])
+        found = texts.join(there, same).where(F.md5(F.array_join(at, " ")) == F.col("wid")).select("doc_id", "th", "start", "len", "wid")
+    return found.join(lent(own.select("wid", "item_id")), "wid").drop("wid")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) to doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null or wordless texts have no words and no hits, wordless items and null item_ids no windows; repeated item rows
-    count once; repeated documents each get their row; empty tables give no rows or no hits. Other columns aren't read.
+    count once; repeated documents each get their row; empty tables give no rows or no hits. Texts of any length, a
+    single word of a megabyte too, are compared whole. Other columns aren't read.
     """
     per_doc = hits(docs, items, width).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("at"), F.collect_set("item_id").alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))))

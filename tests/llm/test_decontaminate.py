@@ -57,3 +57,13 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(e, i).count() == 0
     assert decontaminate.decontaminate(one, i).first().n_hit == 0
     assert decontaminate.decontaminate(e, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_long_texts(spark, most):
+    """A megabyte of one word, of few words, and a window at the end of a long text, in both ways to join."""
+    item = " ".join(f"rare{i}" for i in range(12))
+    docs = [(1, "z" * 1_000_000), (2, "a b " * 100_000 + item), (3, item[:-1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, "a")], "item_id long, text string")
+    found = decontaminate.hits(d, b, 10, most).groupBy("doc_id", "item_id").count().collect()
+    assert sorted(tuple(r) for r in found) == [(2, 7, 3), (2, 8, 100_000), (3, 7, 2)]
