@@ -7,8 +7,8 @@ broadcast but the mixture weights, and no n-gram, however common, reaches a part
 
 A context of frequency c predicts with weight w[bucket of c], which expectation-maximisation learns from the training
 occurrences, each held out of its own counts. A context met once holds nothing when that occurrence is left out, so its
-weight is 0, and no text is predicted from its own memory alone. Weights come from a histogram of ratios of
-probabilities, of bounded size, rounded to an eighth of a nat.
+weight is 0, and no text is predicted from its own memory alone. Weights come from histograms of ratios of
+probabilities, of fixed size, rounded to a sixteenth of a nat: one for bigrams, then one for trigrams.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.llm.common import buffers, chunks, mixed, removed, small_batches, stored, words
+from aeolith.llm.common import SPACES, buffers, chunks, mixed, removed, small_batches, stored, words
 
-#: Bytes of text of a block, a longer text being one of its own; of text whose n-grams a part owns; and most parts.
-BLOCK_BYTES, PART_BYTES, MAX_PARTS = 4 << 20, 8 << 20, 100_000
+#: Bytes of text of a block, a longer text being one of its own; of text hashed at once, which take some forty times as many; of text whose n-grams a part owns; and most parts.
+BLOCK_BYTES, CHUNK, PART_BYTES, MAX_PARTS = 4 << 20, 1 << 19, 8 << 20, 100_000
+#: Bits of an n-gram's hash beyond the logarithm of the bytes of all texts (64 at most): fewer than one n-gram in 2**SPARE shares its hash with another.
+SPARE = 24
 #: Contexts are put in buckets by the binary logarithm of their frequency. Ratios of probabilities have BINS bins, STEPS a nat from LEAST up; bin 0 for none.
-BUCKETS, BINS, STEPS, LEAST = 48, 256, 8, -6.0
+BUCKETS, BINS, STEPS, LEAST = 48, 512, 16, -6.0
 ROUNDS = 200
 END = mixed(np.array([0xE4D], np.uint64))[0]
 SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -68,8 +70,30 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
+def hashed(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words() of texts, of which long ones are hashed in pieces cut at blanks."""
+    edges, owner = [int(at[0])], []
+    for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        while z - a > CHUNK:
+            blank = np.flatnonzero(np.isin(data[a + CHUNK // 2 : min(z, a + CHUNK)], list(SPACES)))
+            a = a + CHUNK // 2 + int(blank[-1]) + 1 if len(blank) else z
+            if a < z:
+                edges.append(a)
+                owner.append(i)
+        edges.append(z)
+        owner.append(i)
+    edges = np.array(edges)
+    h, n = [], []
+    for i, j in chunks(edges, CHUNK):
+        one, first = words(edges[i : j + 1], data)
+        h.append(one)
+        n.append(np.diff(first))
+    n = np.bincount(np.array(owner, np.int64), np.concatenate(n) if n else None, len(at) - 1).astype(np.int64)
+    return np.concatenate(h) if h else np.zeros(0, np.uint64), np.r_[0, np.cumsum(n)]
+
+
 def tokens(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Blocks (block, rows, lengths, words, at) of docs (keys, train, text): keys and train of each text, its number of tokens, the block's words, sorted, and the word of each token. Each text closes with an end."""
+    """Blocks (block, rows, train, lengths, words, at) of docs (keys, train, text): keys and train of each text, its number of tokens, the block's words, sorted, and the word of each token. Each text closes with an end."""
     names = [*keys, "train"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,25 +101,35 @@ def tokens(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         for b in batches:
             at, data = buffers(b.column(len(names)))
             for i, j in chunks(at, BLOCK_BYTES):
-                h, first = words(at[i : j + 1], data)
+                h, first = hashed(at[i : j + 1], data)
                 all_ = np.insert(h, first[1:], END)
                 u, back = np.unique(all_, return_inverse=True)
                 rows = pa.StructArray.from_arrays([b.column(c).slice(i, j - i) for c in range(len(names))], names)
+                train = np.packbits(b.column(len(keys)).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), rows), pa.array([pack(np.diff(first) + 1)], pa.binary()), pa.array([pack_sorted(u)], pa.binary()), pa.array([pack(back)], pa.binary())],
-                    ["block", "rows", "lengths", "words", "at"],
+                    [
+                        pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), rows), pa.array([train], pa.binary()), pa.array([pack(np.diff(first) + 1)], pa.binary()),
+                        pa.array([pack_sorted(u)], pa.binary()), pa.array([pack(back)], pa.binary()),
+                    ],
+                    ["block", "rows", "train", "lengths", "words", "at"],
                 )
                 block += 1
 
     types = dict(docs.dtypes)
     row = ", ".join(f"`{c}`: {types[c]}" for c in names)
-    return docs.select(*names, "text").mapInArrow(trimmed(run), f"block long, rows array<struct<{row}>>, lengths binary, words binary, at binary")
+    return docs.select(*names, "text").mapInArrow(trimmed(run), f"block long, rows array<struct<{row}>>, train binary, lengths binary, words binary, at binary")
+
+
+def of_training(row: dict, lengths: np.ndarray) -> np.ndarray:
+    """Whether each token is of a training text."""
+    return np.repeat(np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(lengths)].astype(bool), lengths)
 
 
 class Block:
     """The n-grams of a block: distinct ones, sorted, which of them each token ends, by order, and how often training texts have each."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
+        self.bits = bits
         self.lengths = unpack(row["lengths"]).astype(np.int64)
         h = unpack_sorted(row["words"])[unpack(row["at"]).astype(np.int64)]
         self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
@@ -107,14 +141,15 @@ class Block:
             pair = mixed(mixed(one + SALT[0]) + h)
             triple = mixed(mixed(mixed(two + SALT[1]) + one) + h)
         self.size = len(h)
-        every = np.concatenate([x & ~_LOW | np.uint64(k) for k, x in ((1, h), (2, pair), (3, triple))])
+        del one, two
+        every = np.concatenate([x >> np.uint64(64 - bits) & ~_LOW | np.uint64(k) for k, x in ((1, h), (2, pair), (3, triple))])
+        del h, pair, triple
         self.grams, self.which = np.unique(every, return_inverse=True)
-        self.train = np.repeat(np.array([r["train"] for r in row["rows"]], bool), self.lengths)
-        self.own = np.bincount(self.which, np.tile(self.train, 3), len(self.grams)).astype(np.int64)
+        self.own = np.bincount(self.which, np.tile(of_training(row, self.lengths), 3), len(self.grams)).astype(np.int64)
 
     def cuts(self, parts: int) -> np.ndarray:
         """Where each part's n-grams begin."""
-        edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+        edges = np.array([(p << self.bits) // parts for p in range(parts)], np.uint64)
         return np.r_[np.searchsorted(self.grams, edges), len(self.grams)]
 
     def counts(self, parts: int, found: list[dict]) -> list[np.ndarray]:
@@ -126,16 +161,16 @@ class Block:
         return [n[k * self.size : (k + 1) * self.size] for k in range(3)]
 
 
-_ROW = ("block", "rows", "lengths", "words", "at")
+_ROW = ("block", "train", "lengths", "words", "at")
 
 
-def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+def dealt(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
     """(part, block, grams, n): the n-grams of each block that a part owns, and their training counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                block = Block(row)
+                block = Block(row, bits)
                 cut = block.cuts(parts)
                 which = np.flatnonzero(np.diff(cut)).tolist()
                 grams = [pack_sorted(block.grams[cut[p] : cut[p + 1]]) for p in which]
@@ -184,18 +219,19 @@ def spectrum(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["n"].to_numpy(), got["m"].to_numpy()
 
 
-def counted(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
-    """(rows, lengths, n1, n2, n3): the training counts of the n-grams that each token of a block ends."""
+def counted(blocks: DataFrame, counts: DataFrame, parts: int, bits: int) -> DataFrame:
+    """(rows, train, lengths, n1, n2, n3): the training counts of the n-grams that each token of a block ends."""
     types = dict(blocks.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, row in enumerate(b.to_pylist()):
-                n = Block(row).counts(parts, row["found"])
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(k, 1), b.column(2).slice(k, 1), *[pa.array([pack(x)], pa.binary()) for x in n]], ["rows", "lengths", "n1", "n2", "n3"])
+            for k in range(len(b)):
+                row = {c: b.column(i)[k].as_py() for i, c in enumerate((*_ROW, "found"))}
+                n = Block(row, bits).counts(parts, row["found"])
+                yield pa.RecordBatch.from_arrays([b.column(len(_ROW) + 1).slice(k, 1), b.column(1).slice(k, 1), b.column(2).slice(k, 1), *[pa.array([pack(x)], pa.binary()) for x in n]], ["rows", "train", "lengths", "n1", "n2", "n3"])
 
     found = counts.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("found"))
-    return blocks.join(found, "block").select(*_ROW, "found").mapInArrow(trimmed(run), f"rows {types['rows']}, lengths binary, n1 binary, n2 binary, n3 binary")
+    return blocks.join(found, "block").select(*_ROW, "found", "rows").mapInArrow(trimmed(run), f"rows {types['rows']}, train binary, lengths binary, n1 binary, n2 binary, n3 binary")
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -212,7 +248,7 @@ class Counts:
         ends = self.n1[self.first + self.lengths - 1]  # a text follows an end, and two ends
         self.c1, self.c2 = np.r_[0.0, self.n1[:-1]], np.r_[0.0, self.n2[:-1]]
         self.c1[self.first] = self.c2[self.first] = ends
-        self.train = np.repeat(np.array([r["train"] for r in row["rows"]], bool), self.lengths)
+        self.train = of_training(row, self.lengths)
 
 
 def em(bucket_of: np.ndarray, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -241,31 +277,30 @@ class Model:
         """Probability of words by their count, out occurrences held out."""
         return self.mu * (np.maximum(n1 - out, 0) / max(self.tokens - out, 1)) + (1 - self.mu) * self.uniform
 
-    def cells(self, c: Counts) -> np.ndarray:
-        """For each training token, held out of all counts, one number for both buckets and the bins of both ratios."""
+    def histogram(self, c: Counts, triples: bool) -> np.ndarray:
+        """Training tokens, each held out of all counts, by bucket of its context and by ratio of the bigram's probability over the unigram's, or of the trigram's over the mixture of both."""
         k = c.train
         p = self.unigram(c.n1[k], 1)
-
-        def binned(n: np.ndarray, context: np.ndarray) -> np.ndarray:
-            r = np.maximum(n - 1, 0) / np.maximum(context - 1, 1) / p
-            logs = np.log(r, where=r > 0, out=np.zeros_like(r))
-            return np.where(r > 0, np.clip(np.rint((logs - LEAST) * STEPS) + 1, 1, BINS - 1), 0).astype(np.int64)
-
-        return ((bucket(c.c2[k]) * BUCKETS + bucket(c.c1[k])) * BINS + binned(c.n3[k], c.c2[k])) * BINS + binned(c.n2[k], c.c1[k])
-
-    def learn(self, cell: np.ndarray, n: np.ndarray) -> None:
-        """The weights of bigrams, then of trigrams against the mixture of bigram and unigram."""
+        held = lambda n, context: np.maximum(n[k] - 1, 0) / np.maximum(context[k] - 1, 1)
+        f, context = held(c.n2, c.c1), c.c1[k]
+        if triples:
+            w = self.pairs[bucket(context)]
+            p = w * f + (1 - w) * p
+            f, context = held(c.n3, c.c2), c.c2[k]
+        r = f / p
+        logs = np.log(r, where=r > 0, out=np.zeros_like(r))
+        at = np.where(r > 0, np.clip(np.rint((logs - LEAST) * STEPS) + 1, 1, BINS - 1), 0).astype(np.int64)
+        return np.bincount(bucket(context) * BINS + at, minlength=BUCKETS * BINS)
+
+    def learn(self, histogram: np.ndarray, triples: bool) -> None:
         ratio = np.exp((np.arange(BINS) - 1) / STEPS + LEAST)
         ratio[0] = 0
-        rest, k2 = np.divmod(cell, BINS)
-        rest, k3 = np.divmod(rest, BINS)
-        b3, b2 = np.divmod(rest, BUCKETS)
-        n = n.astype(np.float64)
-        pair = np.bincount(b2 * BINS + k2, n, BUCKETS * BINS)
-        at = np.flatnonzero(pair)
-        self.pairs = em(at // BINS, ratio[at % BINS], pair[at])
-        lower = self.pairs[b2] * ratio[k2] + 1 - self.pairs[b2]
-        self.triples = em(b3, ratio[k3] / lower, n)
+        at = np.flatnonzero(histogram)
+        weights = em(at // BINS, ratio[at % BINS], histogram[at].astype(np.float64))
+        if triples:
+            self.triples = weights
+        else:
+            self.pairs = weights
 
     def logs(self, c: Counts) -> np.ndarray:
         """log10 of each token's probability."""
@@ -276,18 +311,22 @@ class Model:
         return np.log10(p)
 
 
-def histogram(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all training tokens, and how many are in each; the number of cells doesn't grow with the texts."""
+def histogram(counts: DataFrame, model: Model, triples: bool) -> np.ndarray:
+    """Model.histogram of all training tokens; a task sends the sum of its own."""
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS * BINS, np.int64)
         for b in batches:
             for row in b.to_pylist():
-                cell, n = np.unique(shared.value.cells(Counts(row)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+                total += shared.value.histogram(Counts(row), triples)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    got = counts.mapInArrow(trimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    return got["cell"].to_numpy(), got["n"].to_numpy()
+    got = counts.select("train", "lengths", "n1", "n2", "n3").mapInArrow(trimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS * BINS, np.int64)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), part_bytes: int = PART_BYTES) -> DataFrame:
@@ -303,12 +342,14 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), part_bytes: int
     docs = docs.select(*keys, "text", F.coalesce("train", F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes)), MAX_PARTS)
+    bits = min(64, SPARE + max(int(size), 1).bit_length())
     blocks, blocks_at = stored(tokens(docs, keys), "tokens")
     small_batches(spark, 4)
-    counts, counts_at = stored(added(dealt(blocks, parts)), "counts")
+    counts, counts_at = stored(added(dealt(blocks, parts, bits)), "counts")
     model = Model(*spectrum(counts))
-    of_tokens, of_tokens_at = stored(counted(blocks, counts, parts), "counted")
-    model.learn(*histogram(of_tokens, model))
+    of_tokens, of_tokens_at = stored(counted(blocks, counts, parts, bits), "counted")
+    for triples in (False, True):
+        model.learn(histogram(of_tokens, model, triples), triples)
     shared = spark.sparkContext.broadcast(model)
     names = [*keys, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -316,14 +357,14 @@ def score(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), part_bytes: int
         m = shared.value
         cost = np.log10(m.tokens + m.types + 1)
         for b in batches:
-            for k, row in enumerate(b.to_pylist()):
-                c = Counts(row)
+            for k in range(len(b)):
+                c = Counts({x: b.column(x)[k].as_py() for x in ("train", "lengths", "n1", "n2", "n3")})
                 sums = [np.add.reduceat(x, c.first) for x in ((c.n1 > 0).astype(np.int64), np.log10(c.n1 + 1) - cost, m.logs(c))]
                 kept = b.column(0).slice(k, 1).flatten().flatten()
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(c.lengths), pa.array(sums[0]), pa.array(np.full(len(c.lengths), m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
 
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out, _ = stored(of_tokens.select("rows", "lengths", "n1", "n2", "n3").mapInArrow(trimmed(run), schema), "scored")
+    out, _ = stored(of_tokens.select("rows", "train", "lengths", "n1", "n2", "n3").mapInArrow(trimmed(run), schema), "scored")
     removed(spark, blocks_at, counts_at, of_tokens_at)
     return out

@@ -86,7 +86,7 @@ def test_against_counting(spark, part_bytes):
         r = got[i]
         assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (train, size, known, n)
         assert abs(r.base_score - base) < 1e-6
-        assert abs(r.score - score) < 0.01 * size + 0.02  # ratios are rounded to an eighth of a nat when weights are learned
+        assert abs(r.score - score) < 0.01 * size + 0.02  # ratios are rounded to a sixteenth of a nat when weights are learned
 
 
 def test_copies_are_told_apart(spark):
