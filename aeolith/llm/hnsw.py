@@ -2,7 +2,8 @@
 
 Equal vectors are one node, so that many copies neither break a graph apart nor crowd out neighbours. Nodes are dealt
 into shards of about SHARD nodes by a hash of the vector. A shard's graph is a row of flat neighbour arrays, one a
-level. Blocks of queries walk a graph in step, all of them one hop at a time in numpy; the shards' results are merged.
+level. A graph meets QUERY_BLOCK queries at a time, so that few copies of it are made; IN_STEP of these walk it
+together, one hop at a time in numpy; the shards' results are merged. Work is queries times shards, by the method.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, QUERY_BLOCK = 4096, 2048
+SHARD, QUERY_BLOCK, IN_STEP = 16_384, 16_384, 256
 #: Neighbours of a node, twice as many on level 0; beam widths in building and searching; nodes inserted at a time.
-LINKS, BUILD_BEAM, SEARCH_BEAM, BATCH = 16, 64, 96, 256
+LINKS, BUILD_BEAM, SEARCH_BEAM, BATCH = 16, 64, 144, 256
 
 
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +163,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, width: int = SEAR
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
     packed = queries.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    pairs = graphs.select("dim", "shard").join(queries.select("dim", "block").distinct(), "dim")
-    work = pairs.join(graphs, ["dim", "shard"]).join(packed, ["dim", "block"]).repartition("dim", "shard", "block")
+    shards = graphs.agg(F.max("shard")).first()[0]
+    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards or 0)))))
+    work = pairs.join(graphs, ["dim", "shard"]).repartition("dim", "shard", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,13 +177,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, width: int = SEAR
                     at += n * m
                 who = np.array([s["vec_id"] for s in r.q], np.int64)
                 q = np.array([s["v"] for s in r.q], np.float32)
-                found = search(x, levels, q, min(width, max(len(x), 1)))[:, : k + 1]
+                found = np.concatenate([search(x, levels, q[a : a + IN_STEP], min(width, max(len(x), 1)))[:, : k + 1] for a in range(0, len(q), IN_STEP)])
                 row, col = np.nonzero(found >= 0)
                 node = found[row, col]
                 score = np.einsum("kd,kd->k", q[row].astype(np.float64), x[node].astype(np.float64))
                 yield pd.DataFrame({"query_id": who[row], "node": ids[node], "score": score})
 
-    small_batches(vectors.sparkSession, 16)
+    small_batches(vectors.sparkSession, 1)
     found = work.mapInPandas(run, "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     found = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn")
