@@ -26,6 +26,8 @@ from aeolith.llm.components import components
 #: Cells that count shingles (4 bytes each where broadcast), dealt in pieces for the sum.
 CELLS, PIECES = 1 << 20, 64
 HUBS, BLOCK = 24, 1024
+#: A token that more than one in so many rows of prefixes have is hot; no more than so many tokens are, so what is known of them is broadcast.
+HOT = 10_000
 
 
 def required(a: Column, b: Column, num: int, den: int) -> Column:
@@ -174,7 +176,9 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
 
     Two texts link when the Jaccard similarity of their sets of k-word shingles reaches num / den; component_id is the
     smallest doc_id reachable by links, itself included. A null text and one without words have the empty set, linked
-    with nothing; a shorter text is one shingle. Repeated rows link like copies. A null doc_id gets the component of
+    with nothing; a shorter text is one shingle. Texts are read whole; the set of a very long one is held in memory.
+    Shingles are known by 64-bit hashes: two that share one, of which a set of ten million has one in 370,000, count as one.
+    Repeated rows link like copies. A null doc_id gets the component of
     copies that have one, else null. Empty tables give no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
@@ -185,17 +189,22 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
     sets = sig.where("n > 0").join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     tokens = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    tile = Window.partitionBy("token")
-    order = tile.orderBy(F.xxhash64("doc_id"), "doc_id")
-    tokens = tokens.withColumn("m", F.count("*").over(tile)).where("m > 1").withColumn("rn", F.row_number().over(order))
-    tokens, tokens_at = stored(tokens, "tokens")
-
-    # every member with the hubs before it
-    hub = tokens.where(F.col("rn") <= HUBS).select("token", F.struct(F.col("rn"), F.col("doc_id").alias("d"), F.col("n").alias("hn"), F.col("pos").alias("hp")).alias("h"))
-    hub = hub.groupBy("token").agg(F.collect_list("h").alias("hubs"))
+    sizes, _ = stored(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    hot = F.broadcast(sizes.where(F.col("m") > max(HUBS, (sizes.agg(F.sum("m")).first()[0] or 0) // HOT)))
+    cool = tokens.join(hot.select("token"), "token", "left_anti").join(sizes, "token")
+    tokens = cool.select("doc_id", "n", "pos", "token", "m", F.lit(False).alias("hot")).union(tokens.join(hot, "token").select("doc_id", "n", "pos", "token", "m", F.lit(True)))
+    tokens, tokens_at = stored(tokens.withColumn("h", F.xxhash64("doc_id")), "tokens")
+
+    # every member with the hubs before it, the first HUBS by hash; of a hot token each task sends HUBS members at most, and the hubs go to the members
+    order = Window.partitionBy("token").orderBy("h", "doc_id")
+    hub = tokens.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= HUBS)
+    hub = hub.groupBy("token", "hot").agg(F.collect_list(F.struct("h", F.col("doc_id").alias("d"), F.col("n").alias("hn"), F.col("pos").alias("hp"))).alias("hubs"))
     need = lambda h: required(F.col("n"), h["hn"], num, den)
-    fits = lambda h: (h["rn"] < F.col("rn")) & (F.least(F.col("n"), h["hn"]) >= need(h)) & (F.least(F.col("n") - F.col("pos"), h["hn"] - h["hp"]) >= need(h))
-    met = tokens.join(hub, "token").select("doc_id", F.explode(F.filter("hubs", fits)).alias("h")).select(F.least("doc_id", "h.d").alias("x"), F.greatest("doc_id", "h.d").alias("y")).distinct()
+    before = lambda h: (h["h"] < F.col("h")) | ((h["h"] == F.col("h")) & (h["d"] < F.col("doc_id")))
+    fits = lambda h: before(h) & (F.least(F.col("n"), h["hn"]) >= need(h)) & (F.least(F.col("n") - F.col("pos"), h["hn"] - h["hp"]) >= need(h))
+    with_hubs = tokens.where("NOT hot").join(hub.where("NOT hot").select("token", "hubs"), "token").select("doc_id", "n", "pos", "h", "hubs")
+    with_hubs = with_hubs.union(tokens.where("hot").join(F.broadcast(hub.where("hot").select("token", "hubs")), "token").select("doc_id", "n", "pos", "h", "hubs"))
+    met = with_hubs.select("doc_id", F.explode(F.filter("hubs", fits)).alias("x")).select(F.least("doc_id", "x.d").alias("x"), F.greatest("doc_id", "x.d").alias("y")).distinct()
     first, _ = stored(_verified(docs, _plausible(met, sets, num, den), k, num, den), "links")
     labels, labels_at = components(first)
 
