@@ -78,3 +78,33 @@ def nearest_record(df: DataFrame, keys: list[str], at: str, ts: str = "ts") -> D
     gap = F.abs(F.timestamp_diff("MICROSECOND", moment, F.col(ts)))
     first = F.min(F.struct(gap.alias("g"), F.col(ts).alias("t"))).over(Window.partitionBy(*keys))
     return df.withColumn("flag", F.when(F.col(ts) == first["t"], 1).otherwise(0))
+
+
+def apply_all(df: DataFrame, keys: list[str], steps: list[dict], night: Column | None = None, ts: str = "ts", v: str = "v") -> DataFrame:
+    """df with v after corrections in their order; each step is its key and its settings. ValueError for keys that aren't known, or a night offset without night."""
+    for step in steps:
+        key, x = step["key"], F.col(v)
+        if key == "setto_max":
+            df = df.withColumn(v, cap(x, step["threshold"], "max"))
+        elif key == "setto_min":
+            df = df.withColumn(v, cap(x, step["threshold"], "min"))
+        elif key == "setto_value":
+            df = df.withColumn(v, set_between(x, F.col(ts), step["ranges"], step["value"]))
+        elif key == "set_exact_to_missing":
+            df = df.withColumn(v, exact_to_missing(x, step["values"]))
+        elif key == "relativehumidity_offset":
+            df = humidity_offset(df, keys, ts, v).withColumn(v, F.col("corrected")).drop("corrected", "offset")
+        elif key == "radiation_zero_offset" and night is not None:
+            df = night_offset(df, keys, night, ts, v).withColumn(v, F.col("corrected")).drop("corrected", "offset")
+        else:
+            raise ValueError(f"{key} is no correction, or needs to know the nights")
+    return df
+
+
+def night_offset_report(df: DataFrame, keys: list[str], night: Column, ts: str = "ts", v: str = "v") -> DataFrame:
+    """(keys, n_night, below_before, below_before_night, below_after, below_after_night): how many values lie below 0 before and after the offset is taken off."""
+    d = night_offset(df.withColumn("_night", F.coalesce(night, F.lit(False))), keys, F.col("_night"), ts, v)
+    free = F.col(v) - F.col("offset")
+    below = lambda x, only: F.count_if((x < 0) & only)
+    every, dark = F.lit(True), F.col("_night")
+    return d.groupBy(*keys).agg(F.count_if(dark).alias("n_night"), below(F.col(v), every).alias("below_before"), below(F.col(v), dark).alias("below_before_night"), below(free, every).alias("below_after"), below(free, dark).alias("below_after_night"))

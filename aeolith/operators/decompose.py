@@ -127,3 +127,11 @@ def seasonality(df: DataFrame, keys: list[str], most: int = 730, top: int = 5, t
 
     types = dict(df.dtypes)
     return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", rank int, period double, power double")
+
+
+def reconstruct(parts: DataFrame, keep: tuple[str, ...] = ("trend", "seasonal", "residual"), model: str = "additive", name: str = "reconstructed") -> DataFrame:
+    """Sum or product of the parts kept; null where one of them is."""
+    total = F.lit(0.0) if model == "additive" else F.lit(1.0)
+    for c in keep:
+        total = total + F.col(c) if model == "additive" else total * F.col(c)
+    return parts.withColumn(name, total)

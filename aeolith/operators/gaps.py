@@ -55,3 +55,12 @@ def trim_to_valid(df: DataFrame, keys: list[str], ts: str = "ts", v: str = "v")
     """Rows from the first to the last value of a series."""
     ends = df.where(F.col(v).isNotNull()).groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
     return df.join(ends, keys).where(F.col(ts).between(F.col("_a"), F.col("_z"))).drop("_a", "_z")
+
+
+def gap_at(gaps: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The gap of each series nearest to a moment: the one around it, else the one with the nearer end, the earlier of two."""
+    moment = F.lit(at).cast("timestamp_ntz")
+    micros = lambda c: F.timestamp_diff("MICROSECOND", moment, c)
+    away = F.greatest(micros(F.col("gap_start")), -micros(F.col("gap_end")), F.lit(0))
+    w = Window.partitionBy(*keys).orderBy(away, "gap_start")
+    return gaps.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -139,3 +139,20 @@ def overview(df: DataFrame, ts: str = "ts") -> DataFrame:
 def unique_values(df: DataFrame) -> DataFrame:
     """Distinct values over all cells, as text."""
     return df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("value")).distinct()
+
+
+def days_by_correlation(days: DataFrame, high: bool = True) -> DataFrame:
+    """Days of daily_correlation by |r|, the largest or the smallest first, as rank."""
+    r = F.abs("r")
+    return days.where("r IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy(*[c for c in days.columns if c not in ("day", "n", "r")]).orderBy(r.desc() if high else r.asc(), "day")))
+
+
+def unusual_days(days: DataFrame, keys: list[str], threshold: float = 2.0, how: str = "zscore") -> DataFrame:
+    """Days of daily_correlation whose r stands out by z-score, or by distance from the quartiles in their ranges; with score."""
+    w = Window.partitionBy(*keys)
+    if how == "zscore":
+        score = F.try_divide(F.abs(F.col("r") - F.avg("r").over(w)), F.stddev_samp("r").over(w))
+    else:
+        q1, q3 = (F.percentile("r", F.lit(q)).over(w) for q in (0.25, 0.75))
+        score = F.try_divide(F.greatest(q1 - F.col("r"), F.col("r") - q3, F.lit(0.0)), q3 - q1)
+    return days.where("r IS NOT NULL").withColumn("score", score).where(F.col("score") > threshold)

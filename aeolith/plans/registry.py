@@ -29,7 +29,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from aeolith.plans import frames, models, series  # noqa: F401  they register themselves
+    from aeolith.plans import frames, models, more, series  # noqa: F401  they register themselves
 
     return QUERIES
 
