@@ -6,6 +6,7 @@ neither a Python object per word nor a copy of a whole partition exists.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,19 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share: the cluster's; in local mode, where none is set, one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.aeolith.shared.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="aeolith-")
         spark.conf.set("spark.aeolith.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read again: lineage is cut and lost executors cost nothing. Also the path."""
+    """df written to the shared folder and read again: lineage is cut and lost executors cost nothing. Also the path. Tables that are still there when the driver ends are deleted then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/aeolith-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -52,6 +59,16 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _made.pop(path, None)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            removed(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.sources.files import checkpoint_folder
 from aeolith.functions.meteo import swin_tolerance
 
 #: The published cascade as (method, total days): 1 all drivers, 2 radiation, 3 mean diel course, the last with its tolerance in hours.
@@ -32,10 +33,7 @@ def mds(df: DataFrame, keys: list[str], flux: str = "flux", ts: str = "ts", leas
     """
     days = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
     d = df.withColumn("_day", days).withColumn("hr", F.hour(ts) + F.minute(ts) / 60)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        df.sparkSession.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="aeolith-"))
+    checkpoint_folder(df.sparkSession)
     fresh = lambda x: x.select(*[F.col(c).alias(c) for c in x.columns])  # noqa: E731  columns of their own, as the frames meet in joins
     measured = d.where(F.col(flux).isNotNull()).select(*keys, "_day", F.col(ts).alias("mt"), F.col(flux).alias("x"), "swin", "ta", "vpd", "hr").checkpoint()
     measured = fresh(measured)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.sources.files import checkpoint_folder
+
 K_MAD = 1.4826
 
 
@@ -119,11 +121,7 @@ def manual_removal(v: str, ts: str, ranges: list) -> Column:
 
 def repeated(df: DataFrame, test: Callable[[DataFrame, str], DataFrame], v: str = "v", name: str = "flag") -> DataFrame:
     """test(df, column) again and again on what passed, until it rejects no more; each round is checkpointed, so lineage stays short and lost executors don't start over."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="aeolith-"))
+    checkpoint_folder(df.sparkSession)
     d = df.withColumn("_left", F.col(v)).withColumn(name, F.when(F.col(v).isNotNull(), 0))
     while True:
         d = test(d, "_left").withColumn("_bad", F.coalesce(F.col("_t") == 2, F.lit(False)))

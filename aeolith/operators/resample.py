@@ -39,7 +39,7 @@ def month_matrix(df: DataFrame, agg: str = "avg", ts: str = "ts", v: str = "v")
 def month_ranks(df: DataFrame, agg: str = "avg", ts: str = "ts", v: str = "v") -> DataFrame:
     """(year, month, v, rank): rank 1 for the highest year of a calendar month, ties alike."""
     m = df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(F.expr(f"{agg}({v})").alias(v))
-    return m.withColumn("rank", F.dense_rank().over(Window.partitionBy("month").orderBy(F.desc(v))))
+    return m.withColumn("rank", F.dense_rank().over(Window.partitionBy("month").orderBy(F.round(v, 9).desc())))
 
 
 def long_months(matrix: DataFrame) -> DataFrame:

@@ -101,11 +101,23 @@ def scores(df: DataFrame, predicted: str, target: str, keys: list[str]) -> DataF
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a numeric column: count, missing, distinct, zeros, constant, moments, median. One pass, one column after another in the same aggregate."""
-    total = F.count("*")
-    fields = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), (total - F.count(c)).alias("missing"), F.countDistinct(c).alias("distinct"), F.count_if(F.col(c) == 0).alias("zeros"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("min"), F.percentile(c, F.lit(0.5)).cast("double").alias("median"), F.max(c).cast("double").alias("max")) for c in columns]
-    out = df.agg(F.array(*fields).alias("a")).select(F.inline("a"))
-    return out.withColumn("constant", F.col("distinct") == 1)
+    """One row a numeric column: count, missing, distinct, zeros, constant, moments, median.
+
+    Cells are counted by column and value first, so that a frequent value is one row from there on; distinct values,
+    moments and the median all come from these counts.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])).alias("s")).select("s.i", "s.x")
+    n = cells.groupBy("i", "x").agg(F.count("*").alias("m"))
+    m = F.when(F.col("x").isNotNull(), F.col("m")).otherwise(0)
+    t = n.groupBy("i").agg(
+        F.sum(m).alias("n"), F.sum(F.when(F.col("x").isNull(), F.col("m")).otherwise(0)).alias("missing"), F.count("x").alias("distinct"), F.sum(F.when(F.col("x") == 0, F.col("m")).otherwise(0)).alias("zeros"), F.sum(F.col("x") * F.col("m")).alias("_s"),
+        F.min("x").alias("min"), F.percentile("x", F.lit(0.5), F.col("m")).alias("median"), F.max("x").alias("max"),
+    )
+    mean = t.select("i", (F.col("_s") / F.col("n")).alias("mean"))
+    sd = n.join(F.broadcast(mean), "i").groupBy("i").agg(F.sqrt(F.try_divide(F.sum(F.col("m") * (F.col("x") - F.col("mean")) ** 2), F.sum(m) - 1)).alias("sd"))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    out = t.join(F.broadcast(mean), "i").join(F.broadcast(sd), "i")
+    return out.select(names.alias("column"), "n", "missing", "distinct", "zeros", "mean", "sd", "min", "median", "max", (F.col("distinct") == 1).alias("constant"))
 
 
 def daily_correlation(df: DataFrame, keys: list[str], a: str, b: str, ts: str = "ts") -> DataFrame:

@@ -20,6 +20,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+def Q(x: str, n: int) -> str:
+    """n + 1 distinct quantiles at most, in order."""
+    return f"list_sort(list_distinct(quantile_cont({x}, [" + ", ".join(str(i / n) for i in range(n + 1)) + "])))"
+
+
+def B(x: str, edges: str) -> str:
+    """Number of the bin of x, from 0."""
+    return f"CASE WHEN len({edges}) > 1 AND {x} BETWEEN {edges}[1] AND {edges}[-1] THEN greatest(len(list_filter({edges}, lambda q: q < {x})) - 1, 0) END"
+
+
 D = "WITH s AS (SELECT o_orderdate::TIMESTAMP AS ts, round(avg(o_totalprice) / 1000 + 1.3e-8, 4) AS v, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1)"
 
 
@@ -28,7 +38,7 @@ def month_matrix(spark, sf_dir):
     return resample.month_matrix(daily_orders(spark, sf_dir))
 
 
-@query(f"{D}, m AS (SELECT year(ts)::INT AS year, month(ts)::INT AS month, round(avg(v), 6) AS v FROM s GROUP BY 1, 2) SELECT year, month, {R('v')} AS v, dense_rank() OVER (PARTITION BY month ORDER BY v DESC)::INT AS rank FROM m")
+@query(f"{D}, m AS (SELECT year(ts)::INT AS year, month(ts)::INT AS month, avg(v) AS v FROM s GROUP BY 1, 2) SELECT year, month, {R('v')} AS v, dense_rank() OVER (PARTITION BY month ORDER BY round(v, 9) DESC)::INT AS rank FROM m")
 def month_ranks(spark, sf_dir):
     return resample.month_ranks(daily_orders(spark, sf_dir), "avg")
 
@@ -92,17 +102,22 @@ def grid_equal_width(spark, sf_dir):
     return binning.grid(lines(spark, sf_dir), "l_quantity", "l_extendedprice", "l_discount", 5, least=5)
 
 
-@query()
+@query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, l_discount AS z FROM lineitem), e AS (SELECT {Q('x', 5)} AS ex, {Q('y', 5)} AS ey FROM d),
+c AS (SELECT xbin, ybin, ex[xbin + 1] AS x_start, ey[ybin + 1] AS y_start FROM (SELECT ex, ey, unnest(range(len(ex) - 1))::INT AS xbin FROM e), (SELECT unnest(range(len(ey) - 1))::INT AS ybin FROM e)),
+g AS (SELECT {B('x', 'ex')} AS xbin, {B('y', 'ey')} AS ybin, count(*) AS n, avg(z) AS z FROM d, e GROUP BY 1, 2) SELECT c.xbin, c.ybin, {R('x_start')} AS x_start, {R('y_start')} AS y_start, coalesce(n, 0) AS n, {R('z')} AS z FROM c LEFT JOIN g USING (xbin, ybin)""")
 def grid_quantile(spark, sf_dir):
     return binning.grid(lines(spark, sf_dir), "l_quantity", "l_extendedprice", "l_discount", 5, "quantile")
 
 
-@query()
+@query(f"""WITH d AS (SELECT l_quantity AS z, l_extendedprice AS x, l_discount AS y FROM lineitem), e AS (SELECT {Q('z', 4)} AS ez FROM d), s AS (SELECT x, y, ({B('z', 'ez')})::INT AS zbin FROM d, e), f AS (SELECT zbin, {Q('x', 3)} AS ex FROM s GROUP BY 1)
+SELECT s.zbin, ({B('x', 'ex')})::INT AS xbin, count(*) AS n, {R('median(y)')} AS median, {R('quantile_cont(y, 0.16)')} AS p16, {R('quantile_cont(y, 0.84)')} AS p84 FROM s JOIN f ON s.zbin = f.zbin WHERE len(ex) = 4 GROUP BY 1, 2""")
 def stratified_analysis(spark, sf_dir):
     return binning.stratified(lines(spark, sf_dir), "l_quantity", "l_extendedprice", "l_discount", 4, 3)
 
 
-@query()
+@query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), e AS (SELECT {Q('x', 40)} AS ex FROM d), b AS (SELECT ({B('x', 'ex')})::INT AS bin, median(y) AS m, any_value(ex) AS ex FROM d, e GROUP BY 1),
+s AS (SELECT bin, ex[bin + 1] AS bin_start, avg(m) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM b), t AS (SELECT arg_max(bin, (round(s, 9), -bin)) AS best, max(s) AS peak FROM s), o AS (SELECT max(bin) FILTER (s < 0.95 * peak AND bin < best) AS lo, min(bin) FILTER (s < 0.95 * peak AND bin > best) AS hi FROM s, t)
+SELECT any_value(best) AS best_bin, min(bin) AS first_bin, max(bin) AS last_bin, {R('min(bin_start)')} AS range_start, {R('max(peak)')} AS peak FROM s, t, o WHERE bin > coalesce(lo, -1) AND bin < coalesce(hi, 40)""")
 def optimum_range(spark, sf_dir):
     return binning.optimum_range(lines(spark, sf_dir), "l_quantity", "l_extendedprice", 40)
 

@@ -42,7 +42,9 @@ def potential_radiation(spark, sf_dir):
     return e.select("event_id", p.alias("potential")).withColumn("daytime", solar.daytime(F.col("potential")))
 
 
-@query()
+@query(f"""WITH {cte('30 minutes')}, t AS (SELECT k, ts, dayofyear(ts) AS n, 2 * pi() * (dayofyear(ts) - 1) / 365.0 AS g, hour(ts) * 60 + minute(ts) + second(ts) / 60 AS m, unnest(range(30)) AS i FROM s), u AS (SELECT *, (m - 15 + i + 0.5) / 60 AS h FROM t),
+p AS (SELECT k, ts, greatest(1367.0 * (1 + 0.033 * cos(2 * pi() * n / 365.0)) * (sin(radians({LAT})) * sin({DEC}) + cos(radians({LAT})) * cos({DEC}) * cos(radians(15 * (h + ({EOT} + 4 * ({LON} - 15 * {OFFSET})) / 60 - 12)))), 0) AS p FROM u)
+SELECT k, ts, {R('avg(p)')} AS potential FROM p GROUP BY 1, 2""")
 def mean_potential_radiation(spark, sf_dir):
     return series(spark, sf_dir, 1800).select("k", "ts", solar.mean_potential_radiation(F.col("ts"), 30, LAT, LON, OFFSET).alias("potential"))
 
@@ -58,7 +60,13 @@ def ustar_detection(spark, sf_dir):
     return flux.ustar_percentiles(flux.detect_ustar(d.select("k", "ts", "nee", "ta", "ustar"), ["k"], 100), ["k"])
 
 
-@query()
+STORAGE_FILL = ", ".join(f"CASE WHEN count(st) OVER w{n} >= 3 THEN median(st) OVER w{n} END" for n in (3, 5, 9, 17, 33, 65, 97))
+STORAGE_WINDOWS = ", ".join(f"w{n} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {n // 2} PRECEDING AND {n // 2} FOLLOWING)" for n in (3, 5, 9, 17, 33, 65, 97))
+TA_SQL, SWIN_SQL, VPD_SQL = ("(10 + 8 * sin((hh - 9) * pi() / 12) + dayofyear(ts) / 30)", "greatest(0.0, 500 * sin((hh - 6) * pi() / 12))", "(5 + 4 * sin((hh - 9) * pi() / 12))")
+
+
+@query(f"""{H}, x AS (SELECT k, ts, flux, hour(ts) + minute(ts) / 60 AS hh FROM h), t AS (SELECT k, ts, flux, CASE WHEN hour(ts) % 5 > 1 THEN {TA_SQL} / 10 END AS st FROM x), f AS (SELECT k, ts, flux, st, coalesce(st, {STORAGE_FILL}, 0.0) AS filled FROM t WINDOW {STORAGE_WINDOWS})
+SELECT k, ts, {R('filled')} AS storage_filled, {R('flux + filled')} AS corrected, CASE WHEN st IS NOT NULL THEN 0 ELSE 1 END AS storage_flag FROM f""")
 def storage_correction(spark, sf_dir):
     d = halfhours(spark, sf_dir).withColumn("storage", F.when(F.pmod(F.hour("ts"), F.lit(5)) > 1, F.col("ta") / 10))
     return flux.storage_corrected(d, ["k"], "flux", "storage").select("k", "ts", "storage_filled", "corrected", "storage_flag")
@@ -69,7 +77,9 @@ def mds_gap_filling(spark, sf_dir):
     return fill.mds(halfhours(spark, sf_dir), ["k"]).select("k", "ts", "filled", "sd", "n", "method", "window")
 
 
-@query()
+@query(f"""{H}, x AS (SELECT k, ts, flux, hour(ts) + minute(ts) / 60 AS hh FROM h), d AS (SELECT k, ts, flux, epoch(ts)::BIGINT // 86400 AS day, hour(ts) * 60 + minute(ts) AS mm, {TA_SQL} AS ta, {SWIN_SQL} AS sw, {VPD_SQL} AS vpd FROM x),
+u AS (SELECT g.k, g.ts, stddev_samp(m.flux) AS sd, count(*) AS n FROM d g JOIN d m ON g.k = m.k AND abs(g.day - m.day) <= 7 AND least(abs(g.mm - m.mm), 1440 - abs(g.mm - m.mm)) <= 60 AND abs(g.ta - m.ta) <= 2.5 AND abs(g.vpd - m.vpd) <= 5.0 AND abs(g.sw - m.sw) <= least(greatest(g.sw, 20.0), 50.0)
+WHERE g.flux IS NOT NULL AND m.flux IS NOT NULL GROUP BY 1, 2) SELECT d.k, d.ts, {R('CASE WHEN n >= 6 THEN sd END')} AS uncertainty FROM d LEFT JOIN u ON d.k = u.k AND d.ts = u.ts""")
 def random_uncertainty(spark, sf_dir):
     return flux.random_uncertainty(halfhours(spark, sf_dir), ["k"]).select("k", "ts", "uncertainty")
 
@@ -133,7 +143,9 @@ def clock_phase_shift(spark, sf_dir):
     return shifts.phase_shift(d, ["k"], "m", "swin")
 
 
-@query()
+@query(f"""{H}, x AS (SELECT k, ts, hour(ts) + minute(ts) / 60 AS hh FROM h), p AS (SELECT k, ts, {SWIN_SQL} AS p FROM x), m AS (SELECT *, lag(p, 2) OVER (PARTITION BY k ORDER BY ts) AS m FROM p),
+l AS ({" UNION ALL ".join(f"SELECT k, ts, p, {j} AS lag, {'lead' if j >= 0 else 'lag'}(m, {abs(j)}) OVER (PARTITION BY k ORDER BY ts) AS x FROM m" for j in range(-4, 5))}), r AS (SELECT k, CAST(ts AS DATE) AS day, lag, round(corr(x, p), 9) AS r FROM l GROUP BY 1, 2, 3)
+SELECT k, day, lag, {R('r')} AS r FROM r WHERE r IS NOT NULL AND isfinite(r) QUALIFY row_number() OVER (PARTITION BY k, day ORDER BY r DESC, abs(lag), lag DESC) = 1""")
 def clock_lag_shift(spark, sf_dir):
     d = halfhours(spark, sf_dir).withColumn("m", F.lag("swin", 2).over(Window.partitionBy("k").orderBy("ts")))
     return shifts.lag_shift(d, ["k"], "m", "swin")

@@ -259,7 +259,18 @@ def manual_removal_flag(spark, sf_dir):
     return series(spark, sf_dir).select("k", "ts", outliers.manual_removal("v", "ts", ["2024-01-03", ("2024-01-10 03:00:00", "2024-01-10 09:00:00")]).alias("flag"))
 
 
-@query()
+ROUNDS = 40  # more than the tables need; further rounds reject nothing
+
+
+def _rounds() -> str:
+    """Round after round what is within two deviations of what the last one left."""
+    steps = ["r0 AS (SELECT k, ts, v, v AS x FROM s)"]
+    z = "abs(x - avg(x) OVER (PARTITION BY k)) / nullif(stddev_pop(x) OVER (PARTITION BY k), 0)"
+    steps += [f"r{i} AS MATERIALIZED (SELECT k, ts, v, CASE WHEN NOT coalesce({z} > 2.0, false) THEN x END AS x FROM r{i - 1})" for i in range(1, ROUNDS + 1)]
+    return ", ".join(steps)
+
+
+@query(f"{S}, {_rounds()} SELECT k, ts, CASE WHEN v IS NULL THEN NULL WHEN x IS NULL THEN 2 ELSE 0 END AS flag FROM r{ROUNDS}")
 def repeated_zscore_flag(spark, sf_dir):
     def test(d: DataFrame, c: str) -> DataFrame:
         return outliers.zscore(d, ["k"], 2.0, c, "_t")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -62,18 +63,47 @@ def number(c: Column, missing: tuple[str, ...]) -> Column:
     return F.when(~x.isin(*missing) & ~F.coalesce(bad, F.lit(False)), d)
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes sure that checkpoints have a folder: the cluster's own setting; in local mode, where none is set, a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    found = sc.getConf().get("spark.checkpoint.dir", "")
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="aeolith-"))
+
+
+def _headers(text: DataFrame, rows: int) -> list[tuple[list[str], list[str]]]:
+    """(files, header rows) of files with the same header. Each file's first rows are found where they are; only they come to the driver."""
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id")).where("b = 0")
+    first = lines.groupBy("path").agg(F.min("id").alias("first"))
+    head = lines.join(F.broadcast(first), "path").where(F.col("id") < F.col("first") + rows).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("h"))
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for r in head.orderBy("path").collect():
+        alike.setdefault(tuple(x.value for x in r.h), []).append(r.path)
+    return [(paths, list(h)) for h, paths in alike.items()]
+
+
 def read_text(spark: SparkSession, paths: str | list[str], layout: TextFormat | str, rows: int | None = None) -> DataFrame:
-    """(ts, columns…) as the layout says; all columns but stamps are numbers. Only the header rows of one file are read on the driver."""
+    """(ts, columns…) as the layout says; all columns but stamps are numbers.
+
+    Each file is read by its own header, so columns may stand in another order or be missing in some. Only header rows
+    come to the driver, and only the first block of a file is searched for rows like them.
+    """
     f = FORMATS[layout] if isinstance(layout, str) else layout
-    head = spark.read.text(paths).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("b")).where("b = 0").drop("b").limit(f.skip + f.header).collect()
-    names = unique_names(head[f.skip].value.split(f.delimiter))
-    lines = [r.value for r in head]
-    text = spark.read.text(paths).where(~F.col("value").isin(lines) & (F.trim("value") != ""))
-    parts = F.from_csv("value", ", ".join(f"`c{i}` STRING" for i in range(len(names))), {"sep": f.delimiter})
-    d = text.select(parts.alias("p")).select(*[F.col(f"p.c{i}").alias(f"_{i}") for i in range(len(names))])
-    at = {n: f"_{i}" for i, n in enumerate(names)}
-    stamp = F.try_to_timestamp(F.concat_ws(" ", *[F.trim(at[s]) for s in f.stamps]), F.lit(f.stamp_format)).cast("timestamp_ntz")
-    d = d.select(stamp.alias("ts"), *[number(F.col(at[n]), f.missing).alias(n) for n in names if n not in f.stamps])
+    parts = []
+    for files, head in _headers(spark.read.text(paths), f.skip + f.header):
+        names = unique_names(head[f.skip].split(f.delimiter))
+        text = spark.read.text(files).where(~((F.col("_metadata.file_block_start") == 0) & F.col("value").isin(head)) & (F.trim("value") != ""))
+        row = F.from_csv("value", ", ".join(f"`c{i}` STRING" for i in range(len(names))), {"sep": f.delimiter})
+        d = text.select(row.alias("p")).select(*[F.col(f"p.c{i}").alias(f"_{i}") for i in range(len(names))])
+        at = {n: f"_{i}" for i, n in enumerate(names)}
+        stamp = F.try_to_timestamp(F.concat_ws(" ", *[F.trim(at[s]) for s in f.stamps]), F.lit(f.stamp_format)).cast("timestamp_ntz")
+        parts.append(d.select(stamp.alias("ts"), *[number(F.col(at[n]), f.missing).alias(n) for n in names if n not in f.stamps]))
+    if not parts:
+        raise ValueError("no file has a header")
+    d = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return d.limit(rows) if rows else d
 
 

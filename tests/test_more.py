@@ -371,3 +371,14 @@ def test_database_queries():
     if not influx.available():
         with pytest.raises(RuntimeError, match="client"):
             influx.Backend("u", "t", "o").buckets()
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    """Columns in another order, and one that a file has not: each file is read by its own header; a row of data like another file's header stays a row."""
+    from aeolith.sources import files
+
+    (tmp_path / "a.csv").write_text("TIMESTAMP_END,TA,RH\n202301010030,1,50\n202301010100,2,51\n")
+    (tmp_path / "b.csv").write_text("RH,TIMESTAMP_END,TA\n60,202301010130,3\n")
+    (tmp_path / "c.csv").write_text("TIMESTAMP_END,TA\n202301010200,4\n")
+    got = [tuple(r) for r in files.read_text(spark, f"file://{tmp_path}/*.csv", "csv_30min_end").orderBy("ts").select("TA", "RH").collect()]
+    assert got == [(1.0, 50.0), (2.0, 51.0), (3.0, 60.0), (4.0, None)]
