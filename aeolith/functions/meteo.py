@@ -63,3 +63,20 @@ def season(month: Column, spring=(3, 4, 5), summer=(6, 7, 8), autumn=(9, 10, 11)
 
 def cyclic(x: Column, period: float) -> tuple[Column, Column]:
     return F.sin(x * 2 * F.pi() / period), F.cos(x * 2 * F.pi() / period)
+
+
+def mds_description(flag: int) -> str:
+    """What the flag of a filled value says."""
+    if not flag:
+        return "measured"
+    method, days = divmod(int(flag), 1000)
+    limits = {1: (14, 56), 2: (14, 28), 3: (1, 5)}.get(method, (0, 0))
+    quality = 1 if days <= limits[0] else 2 if days <= limits[1] else 3
+    return f"{ {1: 'radiation, temperature and deficit', 2: 'radiation', 3: 'diurnal course'}.get(method, f'method {method}') }: {days} d window (quality {quality})"
+
+
+def mean_sd_count(v: Column, least: int, sample: bool = False) -> tuple[Column, Column, Column]:
+    """Aggregates: mean and standard deviation where there are least values (and more than one for a sample's), and their number."""
+    n = F.count(v)
+    enough = (n >= least) & (n > int(sample))
+    return F.when(enough, F.avg(v)), F.when(enough, F.stddev_samp(v) if sample else F.stddev_pop(v)), n

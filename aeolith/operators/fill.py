@@ -101,3 +101,11 @@ def by_trees(df: DataFrame, keys: list[str], target: str, drivers: list[str], mo
     tests = [x for _, x in done if x is not None]
     scores = {m: RegressionEvaluator(labelCol=target, predictionCol="_p", metricName=m).evaluate(reduce(DataFrame.unionByName, tests)) for m in ("r2", "rmse", "mae")} if tests else {}
     return reduce(DataFrame.unionByName, [x.select(*df.columns, "filled", "fill_flag") for x, _ in done]), scores
+
+
+def quality_breakdown(df: DataFrame, keys: list[str], method: str = "method", window: str = "window") -> DataFrame:
+    """(keys, flag, n, percent): records by the step that filled them, 0 for measured ones and those left; in percent of all."""
+    from aeolith.functions.meteo import mds_flag
+
+    n = df.groupBy(*keys, F.coalesce(mds_flag(F.col(method), F.col(window)), F.lit(0)).alias("flag")).agg(F.count("*").alias("n"))
+    return n.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))

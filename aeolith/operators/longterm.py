@@ -160,3 +160,16 @@ def fill_radiation(df: DataFrame, keys: list[str], potential: str = "potential",
     flag = F.when(F.col("_y").isNotNull(), 0).when(~day, 3).when(F.col("_i").isNotNull(), 4).when(F.col("_r").isNotNull(), 1).when(F.col("_q").isNotNull(), 2)
     x = F.coalesce("_y", F.when(~day, F.lit(0.0)), "_i", F.greatest("_r", F.lit(0.0)), F.greatest("_q", F.lit(0.0)))
     return d.withColumn("fill_flag", flag).withColumn("filled", F.when(flag.isNotNull(), x)).select(*df.columns, "filled", "fill_flag")
+
+
+def ranks_by_year(filled: Filled) -> DataFrame:
+    """(driver, one column a year): the rank of each feature in each year's model."""
+    if filled.importances is None:
+        raise ValueError("importances were not asked for")
+    return filled.importances.groupBy("driver").pivot("year", sorted(filled.pools)).agg(F.first("rank"))
+
+
+def score_table(filled: Filled) -> DataFrame:
+    """(year, pool, rmse, r2, n_train, n_test) of all models."""
+    rows = [(y, filled.pools[y], s.get("rmse"), s.get("r2"), s.get("n_train"), s.get("n_test")) for y, s in sorted(filled.scores.items())]
+    return filled.df.sparkSession.createDataFrame(rows, "year int, pool array<int>, rmse double, r2 double, n_train long, n_test long")

@@ -112,3 +112,40 @@ def sanitize(df: DataFrame, keys: list[str], order: list, step: float, ts: str =
     """Null stamps out, the last of duplicates kept, the full grid, stamps in the middle."""
     d = regularize(drop_duplicate_stamps(drop_null_stamps(df, ts), keys, order, "last", ts), keys, step, ts)
     return d.withColumn(ts, to_middle(F.col(ts), convention, step))
+
+
+def frequency_of_ends(df: DataFrame, keys: list[str], most: int = 1000, least: int = 4, ts: str = "ts") -> DataFrame:
+    """(keys, step, n): the step in seconds that the first n and the last n stamps keep, n being the largest from most down to least for which there are twice as many; null without."""
+    w, back = Window.partitionBy(*keys).orderBy(ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
+    d = df.select(*keys, ts).withColumn("step", seconds_between(F.col(ts), F.lag(ts).over(w))).withColumn("a", F.row_number().over(w)).withColumn("z", F.row_number().over(back))
+    ends = d.groupBy(*keys).agg(F.count("*").alias("rows"), F.min_by("step", F.when(F.col("a") > 1, F.col("a"))).alias("first"), F.min_by("step", F.when(F.col("a") > 1, F.col("z"))).alias("last"))
+    near = d.where((F.col("a") <= most) | (F.col("z") <= most)).join(ends, keys)
+    # how many stamps from each end keep that end's step: one less than the stamp before which it changes
+    run = near.groupBy(*keys).agg(
+        F.first("rows").alias("rows"), F.first("first").alias("first"), F.first("last").alias("last"), F.min(F.when((F.col("a") > 1) & (F.col("step") != F.col("first")), F.col("a"))).alias("x"),
+        F.min(F.when((F.col("a") > 1) & (F.col("step") != F.col("last")), F.col("z"))).alias("y"),
+    )
+    n = F.least(F.lit(most), F.floor(F.col("rows") / 2), F.coalesce(F.col("x") - 1, F.lit(most)), F.coalesce(F.col("y"), F.lit(most))).cast("int")
+    good = (F.col("first") == F.col("last")) & (n >= least)
+    return run.select(*keys, F.when(good, F.col("first")).alias("step"), F.when(good, n).alias("n"))
+
+
+def stamps_by_number(df: DataFrame, keys: list[str], order: str, start: str, seconds: float, duration: float) -> DataFrame:
+    """df with ts: a file's start and each record's number times the true resolution, which is the duration over the records found if there are others than expected; rounded to 50 ms."""
+    expected = int(duration / seconds)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    step = F.when(n == expected, F.lit(float(seconds))).otherwise(F.lit(float(duration)) / n)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return df.withColumn("ts", (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.rint(number * step / 0.05) * 0.05)).cast("timestamp_ntz"))
+
+
+def seconds_of(n: int, unit: str) -> float:
+    """Seconds of n units: s, min, h, D, W."""
+    return n * {"s": 1.0, "min": 60.0, "h": 3600.0, "D": 86400.0, "W": 604800.0}[unit]
+
+
+def unix_now() -> int:
+    """Seconds since 1970, now."""
+    import time
+
+    return int(time.time())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aeolith.operators import corrections, decompose, drivers, engineer, fits, flux, gaps, longterm, partition, screening, selfheating, shapes, stats
+from aeolith.operators import columns, corrections, decompose, drivers, engineer, fill, fits, flux, gaps, longterm, partition, screening, selfheating, shapes, stats, timeaxis
 from aeolith.plans.frames import D, daily_orders, lines
 from aeolith.plans.models import LAT, LON, OFFSET, H, halfhours
 from aeolith.plans.registry import query
@@ -362,3 +362,28 @@ def upload_layout(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query(f"""WITH {cte()}, d AS (SELECT k, ts, date_diff('second', lag(ts) OVER o, ts) AS step, row_number() OVER o AS a, row_number() OVER (PARTITION BY k ORDER BY ts DESC) AS z FROM s WHERE NOT (ts BETWEEN '2024-01-06' AND '2024-01-07') WINDOW o AS (PARTITION BY k ORDER BY ts)),
+e AS (SELECT k, count(*) AS n, any_value(step) FILTER (a = 2) AS f, any_value(step) FILTER (z = 1) AS l FROM d GROUP BY k), r AS (SELECT d.k, any_value(n) AS n, any_value(f) AS f, any_value(l) AS l, min(a) FILTER (a > 1 AND step <> f) - 1 AS x, min(z) FILTER (a > 1 AND step <> l) AS y FROM d JOIN e USING (k) GROUP BY 1),
+t AS (SELECT k, f, f = l AS same, least(1000, n // 2, coalesce(x, 1000), coalesce(y, 1000))::INT AS n FROM r) SELECT k, CASE WHEN same AND n >= 4 THEN {R('f')} END AS step, CASE WHEN same AND n >= 4 THEN n END AS n FROM t""")
+def frequency_of_ends(spark, sf_dir):
+    d = series(spark, sf_dir).where(~F.col("ts").between(F.lit("2024-01-06").cast("timestamp_ntz"), F.lit("2024-01-07").cast("timestamp_ntz")))
+    return timeaxis.frequency_of_ends(d, ["k"]).withColumn("step", F.col("step").cast("double"))
+
+
+@query("""WITH e AS (SELECT event_type AS k, event_id, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r FROM events)
+SELECT k, event_id, TIMESTAMP '2024-01-01' + to_microseconds((round_even(r * CASE WHEN n = 36000 THEN 0.05 ELSE 1800.0::DOUBLE / n END / 0.05, 0) * 50000)::BIGINT) AS ts FROM e""")
+def stamps_by_number(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("k"), "event_id")
+    return timeaxis.stamps_by_number(e, ["k"], "event_id", "2024-01-01", 0.05, 1800.0)
+
+
+@query()
+def made_series(spark, sf_dir):
+    return columns.made_series(spark)
+
+
+@query()
+def fill_quality_breakdown(spark, sf_dir):
+    return fill.quality_breakdown(fill.mds(halfhours(spark, sf_dir), ["k"]), ["k"])

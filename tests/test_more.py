@@ -382,3 +382,40 @@ def test_files_with_other_headers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("TIMESTAMP_END,TA\n202301010200,4\n")
     got = [tuple(r) for r in files.read_text(spark, f"file://{tmp_path}/*.csv", "csv_30min_end").orderBy("ts").select("TA", "RH").collect()]
     assert got == [(1.0, 50.0), (2.0, 51.0), (3.0, 60.0), (4.0, None)]
+
+
+def test_columns(spark):
+    from aeolith.operators import columns
+
+    d = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 1.0)], "ts int, b double, A double")
+    with pytest.raises(ValueError, match="no such"):
+        columns.keep(d, ["x"])
+    assert columns.new_columns(d, d.select("ts", "b"), ["ts"]) == ["A"]
+    with pytest.raises(ValueError, match="differ"):
+        columns.new_columns(d, d.withColumn("b", F.lit(9.0)), ["ts"])
+    two = columns.with_units(d, {"b": ("TA", "C")})
+    assert two.columns == ["ts|-", "TA|C", "A|-"] and columns.flatten(two).columns == ["ts_-", "TA_C", "A_-"] and columns.flatten(two, True).columns == ["ts", "TA", "A"]
+    with pytest.raises(ValueError, match="differ"):
+        columns.flatten(columns.with_units(d, {"b": ("A", "C")}), True)
+    assert columns.ordered(d.withColumn(".z", F.lit(1)), ("ts",)).columns == [".z", "ts", "A", "b"] and columns.rename(d, {"b": "c"}).columns == ["ts", "c", "A"]
+    y, x, names_, ts = columns.to_arrays(d, "A")
+    assert y.tolist() == [3.0] and x.tolist() == [[2.0]] and names_ == ["b"] and ts.tolist() == [1]
+    s = columns.made_series(spark, 5000).toPandas()
+    assert abs(s.noise.std() - 2) < 0.1 and abs(s.noise.mean()) < 0.1 and 0.01 < ((s.observed_value - s.base_signal - s.noise).abs() > 1e-9).mean() < 0.03
+    n = columns.impulse_noise(spark.createDataFrame([("a", i, 1.0 + i % 5) for i in range(2000)], "k string, ts int, v double"), ["k"]).toPandas()
+    moved = (n.noisy != n.v).mean()
+    assert 0.02 < moved < 0.06 and (n.noisy - n.v).between(-10, 50).all()
+
+
+def test_stamps_of_ends_and_numbers(spark):
+    from aeolith.functions import meteo
+    from aeolith.operators import timeaxis
+
+    rows = [("a", T0 + timedelta(minutes=10 * i)) for i in range(40)] + [("b", T0 + timedelta(minutes=10 * i + (i == 5))) for i in range(40)] + [("c", T0 + timedelta(minutes=10 * i if i < 20 else 30 * i)) for i in range(40)]
+    got = {r.k: (r.step, r.n) for r in timeaxis.frequency_of_ends(frame(spark, rows, "k string, ts timestamp_ntz"), ["k"]).collect()}
+    assert got == {"a": (600, 20), "b": (600, 5), "c": (None, None)}
+    d = timeaxis.stamps_by_number(spark.range(100).withColumn("k", F.lit("a")), ["k"], "id", "2023-01-01", 0.05, 5.0).orderBy("id").collect()
+    assert d[3].ts == datetime(2023, 1, 1, 0, 0, 0, 150_000) and timeaxis.seconds_of(2, "h") == 7200 and timeaxis.unix_now() > 1_600_000_000
+    assert meteo.mds_description(0) == "measured" and meteo.mds_description(1014).endswith("14 d window (quality 1)") and meteo.mds_description(3007).endswith("(quality 3)")
+    m, s, n = meteo.mean_sd_count(F.col("x"), 3)
+    assert tuple(frame(spark, [(1.0,), (2.0,), (None,)], "x double").agg(m, s, n).first()) == (None, None, 2)
