@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distinct values up to which one task may hold them with their counts; beyond, quantiles of a whole table are found cell by cell.
+DISTINCT = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, x: str, shares: list[float], cells: int = 1000) -> list[float]:
+    """Quantiles by linear interpolation between ranks, as percentile() has them, of any number of values.
+
+    Approximate quantiles part the values into cells, whose counts tell in which cell each rank lies; only the values of
+    those cells are ranked, each cell by a task of its own. An empty column gives none.
+    """
+    v = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"))
+    edges = v.agg(F.percentile_approx("x", [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
+    e = F.array(*[F.lit(float(q)) for q in sorted(set(edges))]).cast("array<double>")
+    counted = v.groupBy("x").agg(F.count("*").alias("m")).withColumn("cell", F.size(F.filter(e, lambda q: q < F.col("x"))))
+    sizes = {r["cell"]: r["n"] for r in counted.groupBy("cell").agg(F.sum("m").alias("n")).collect()}
+    n, before, start = sum(sizes.values()), 0, {}
+    if not n:
+        return []
+    for c in sorted(sizes):
+        start[c] = before
+        before += sizes[c]
+    ranks = sorted({f(p * (n - 1)) for p in shares for f in (math.floor, math.ceil)})
+    need = {r: max(c for c, a in start.items() if a <= r) for r in ranks}
+    w = Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    own = counted.where(F.col("cell").isin(sorted(set(need.values())))).withColumn("z", F.sum("m").over(w)).withColumn("a", F.col("z") - F.col("m"))
+    wanted = df.sparkSession.createDataFrame([(r, c, r - start[c]) for r, c in need.items()], "rank long, cell int, at long")
+    at = {r["rank"]: r["x"] for r in own.join(F.broadcast(wanted), "cell").where("at >= a AND at < z").select("rank", "x").collect()}
+    low = [(p * (n - 1), math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in shares]
+    return [at[a] + (at[b] - at[a]) * (q - a) for q, a, b in low]
+
+
 def quantile_edges(df: DataFrame, keys: list[str], x: str, n: int) -> DataFrame:
-    """(keys, edges): n + 1 distinct quantiles at most."""
+    """(keys, edges): n + 1 distinct quantiles at most. Without keys, a column of very many distinct values goes cell by cell."""
+    if not keys and (df.agg(F.approx_count_distinct(x)).first()[0] or 0) > DISTINCT:
+        found = sorted(set(exact_quantiles(df, x, [i / n for i in range(n + 1)])))
+        return df.sparkSession.createDataFrame([(found,)], "edges array<double>")
     q = F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))
     return df.groupBy(*keys).agg(F.array_distinct(q).alias("edges"))
 
@@ -46,13 +82,10 @@ def grid(df: DataFrame, x: str, y: str, z: str, n: int = 10, how: str = "equal",
     """(xbin, ybin, x_start, y_start, n, z): z by cells of equal-width or quantile bins of both axes; null below ``least`` values. Empty cells are kept."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
-    def edges(c: str) -> Column:
-        if how == "quantile":
-            return F.array_distinct(F.percentile(c, F.array(*[F.lit(i / n) for i in range(n + 1)])))
-        return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.min(c) + (F.max(c) - F.min(c)) * i / n)
-
-    e = d.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), *([edges(x).alias("ex"), edges(y).alias("ey")] if how == "quantile" else []))
-    if how != "quantile":
+    if how == "quantile":
+        e = quantile_edges(d, [], x, n).withColumnRenamed("edges", "ex").crossJoin(quantile_edges(d, [], y, n).withColumnRenamed("edges", "ey"))  # a row each
+    else:
+        e = d.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
         steps = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.col(a) + (F.col(b) - F.col(a)) * i / n)
         e = e.withColumn("ex", steps("x0", "x1")).withColumn("ey", steps("y0", "y1"))
     e = e.select("ex", "ey")  # one row

@@ -419,3 +419,17 @@ def test_stamps_of_ends_and_numbers(spark):
     assert meteo.mds_description(0) == "measured" and meteo.mds_description(1014).endswith("14 d window (quality 1)") and meteo.mds_description(3007).endswith("(quality 3)")
     m, s, n = meteo.mean_sd_count(F.col("x"), 3)
     assert tuple(frame(spark, [(1.0,), (2.0,), (None,)], "x double").agg(m, s, n).first()) == (None, None, 2)
+
+
+def test_exact_quantiles_cell_by_cell(spark, monkeypatch):
+    from aeolith.operators import binning
+
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.normal(size=5000).round(3), np.full(2000, 0.5), [None] * 10]
+    d = frame(spark, [(None if v is None else float(v),) for v in x.tolist()], "x double").repartition(5)
+    shares = [0.0, 0.001, 0.1, 0.3333, 0.5, 0.77, 0.999, 1.0]
+    want = d.agg(F.percentile("x", F.array(*[F.lit(s) for s in shares]))).first()[0]
+    assert np.allclose(binning.exact_quantiles(d, "x", shares, 50), want) and binning.exact_quantiles(d.where("x > 100"), "x", shares) == []
+    one = binning.quantile_edges(d, [], "x", 10).first().edges
+    monkeypatch.setattr(binning, "DISTINCT", 10)
+    assert np.allclose(binning.quantile_edges(d, [], "x", 10).first().edges, one)
