@@ -387,3 +387,9 @@ def made_series(spark, sf_dir):
 @query()
 def fill_quality_breakdown(spark, sf_dir):
     return fill.quality_breakdown(fill.mds(halfhours(spark, sf_dir), ["k"]), ["k"])
+
+
+@query()
+def uncertainty_cascade(spark, sf_dir):
+    d = halfhours(spark, sf_dir).withColumn("filled", F.coalesce("flux", F.col("ta")))
+    return flux.uncertainty_cascade(d, ["k"]).select("k", "ts", "uncertainty", "method")

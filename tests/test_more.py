@@ -433,3 +433,27 @@ def test_exact_quantiles_cell_by_cell(spark, monkeypatch):
     one = binning.quantile_edges(d, [], "x", 10).first().edges
     monkeypatch.setattr(binning, "DISTINCT", 10)
     assert np.allclose(binning.quantile_edges(d, [], "x", 10).first().edges, one)
+
+
+def test_uncertainty_cascade_by_brute_force(spark):
+    rng, rows = np.random.default_rng(12), []
+    for i in range(48 * 40):
+        h = i % 48 / 2
+        x = None if rng.random() < 0.3 or 20 * 48 < i < 23 * 48 else float(5 * np.sin((h - 6) * np.pi / 12) + rng.normal(0, 0.5))
+        rows.append(("a", T0 + timedelta(minutes=30 * i), x, float(10 + 5 * np.sin(h)), float(5 + i % 3), float(max(0, 400 * np.sin((h - 6) * np.pi / 12))), x if x is not None else (60.0 if i == 100 else float(rng.normal(0, 9)))))
+    d = frame(spark, rows, "k string, ts timestamp_ntz, flux double, ta double, vpd double, swin double, filled double")
+    got = {r.ts: r for r in flux.uncertainty_cascade(d, ["k"]).collect()}
+    first = {r.ts: r.uncertainty for r in flux.random_uncertainty(d, ["k"]).collect()}
+    known = [(r[1], r[6], first[r[1]]) for r in rows if first[r[1]] is not None]
+    for r in rows:
+        u, m = got[r[1]].uncertainty, got[r[1]].method
+        if first[r[1]] is not None:
+            assert m == 1 and abs(u - first[r[1]]) < 1e-9
+            continue
+        alike = [(t, y) for t, x, y in known if abs(x - r[6]) <= max(2.0, 0.2 * abs(r[6]))]
+        near = [y for t, y in alike if abs((t - r[1]).total_seconds()) <= 14 * 86400]
+        if near or alike:
+            assert m == (2 if near else 3) and abs(u - np.median(near or [y for _, y in alike])) < 1e-9
+        else:
+            assert m in (4, None)
+    assert got[rows[100][1]].method == 4 and {r.method for r in got.values()} >= {1, 2, 4}
