@@ -139,3 +139,28 @@ def highest_quality(df: DataFrame, keys: list[str], day: str, size: int | None =
     half = max(int(counts / 10), 1) // 2
     running = part.orderBy(ts).rowsBetween(-half, half)
     return d.withColumn("median", F.percentile("filtered", F.lit(0.5)).over(running)).withColumn("sd", F.stddev_samp("filtered").over(part))
+
+
+def checked_units(df: DataFrame, keys: list[str], units: str = "units") -> DataFrame:
+    """df, if each series has one unit; else ValueError."""
+    bad = df.groupBy(*keys).agg(F.count_distinct(units).alias("n")).where("n > 1").limit(5).collect()
+    if bad:
+        raise ValueError(f"several units in {[tuple(r)[:-1] for r in bad]}")
+    return df
+
+
+def finished(s: Screening, seconds: int, agg: str = "avg", least_share: float = 0.25, tags: dict[str, str] | None = None, day: Column | None = None, day_from: int = 2, night_from: int = 2) -> DataFrame:
+    """(keys, ts, v, tags…): what all kept tests leave, by time bucket, with tags as columns. Fields of one table are series: the field's name is a key."""
+    from aeolith.operators.resample import resample
+
+    left = s.overall(day, day_from, night_from).select(*s.keys, s.ts, F.col("filtered").alias("v"))
+    return resample(left, s.keys, seconds, agg, least_share, ts=s.ts).withColumns({k: F.lit(v) for k, v in (tags or {}).items()})
+
+
+def radiation_days(df: DataFrame, keys: list[str], lat: float, lon: float, utc_offset: float, v: str = "v", ts: str = "ts") -> DataFrame:
+    """(keys, day, n, r): correlation of each day's values with potential radiation; low ones point at wrong clocks."""
+    from aeolith.functions import solar
+    from aeolith.operators.stats import daily_correlation
+
+    p = solar.potential_radiation(F.dayofyear(ts), F.hour(ts) + F.minute(ts) / 60, lat, lon, utc_offset)
+    return daily_correlation(df.withColumn("_pot", p), keys, v, "_pot", ts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aeolith.operators import columns, corrections, decompose, drivers, engineer, fill, fits, flux, gaps, longterm, partition, screening, selfheating, shapes, stats, timeaxis
 from aeolith.plans.frames import D, daily_orders, lines
-from aeolith.plans.models import LAT, LON, OFFSET, H, halfhours
+from aeolith.plans.models import DEC, EOT, LAT, LON, OFFSET, H, halfhours
 from aeolith.plans.registry import query
 from aeolith.plans.series import R, S, Z, cte, series
 from aeolith.sources import formats
@@ -393,3 +393,20 @@ def fill_quality_breakdown(spark, sf_dir):
 def uncertainty_cascade(spark, sf_dir):
     d = halfhours(spark, sf_dir).withColumn("filled", F.coalesce("flux", F.col("ta")))
     return flux.uncertainty_cascade(d, ["k"]).select("k", "ts", "uncertainty", "method")
+
+
+@query(f"""{H}, d AS (SELECT k, ts, dayofyear(ts) AS n, {HH} AS h, 2 * pi() * (dayofyear(ts) - 1) / 365.0 AS g, {SWIN} AS v FROM h), p AS (SELECT k, CAST(ts AS DATE) AS day, v, greatest(1367.0 * (1 + 0.033 * cos(2 * pi() * n / 365.0)) * (sin(radians({LAT})) * sin({DEC}) + cos(radians({LAT})) * cos({DEC}) * cos(radians(15 * (h + ({EOT} + 4 * ({LON} - 15 * {OFFSET})) / 60 - 12)))), 0) AS p FROM d)
+SELECT k, day, count(*) AS n, {R('CASE WHEN count(*) > 1 AND stddev_pop(v) > 0 AND stddev_pop(p) > 0 THEN covar_pop(v, p) / (stddev_pop(v) * stddev_pop(p)) END')} AS r FROM p GROUP BY 1, 2""")
+def radiation_correlation(spark, sf_dir):
+    return screening.radiation_days(halfhours(spark, sf_dir), ["k"], LAT, LON, OFFSET, "swin")
+
+
+@query(f"""WITH e AS (SELECT event_type AS k, ts, CASE WHEN value BETWEEN 2 AND 60 THEN value END AS v FROM events), b AS (SELECT k, time_bucket(INTERVAL '1 hour', ts) AS w, avg(v) AS x, count(v) AS n FROM e GROUP BY 1, 2), l AS (SELECT *, floor(max(n) OVER (PARTITION BY k) * 0.25) AS least FROM b),
+x AS (SELECT k, w + INTERVAL '1 hour' AS ts, CASE WHEN n >= CASE WHEN least < 3 THEN 1 ELSE least END THEN x END AS v FROM l), r AS (SELECT k, min(ts) AS a, max(ts) AS z FROM x GROUP BY k), g AS (SELECT k, unnest(generate_series(a, z, INTERVAL '1 hour')) AS ts FROM r)
+SELECT g.k, g.ts, {R('v')} AS v, 'hourly' AS freq FROM g LEFT JOIN x ON g.k = x.k AND g.ts = x.ts""")
+def screened_and_resampled(spark, sf_dir):
+    from aeolith.operators import outliers
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("k"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("v"))
+    s = screening.Screening.of(e, ["k"], "v").try_("ABSLIM", lambda d, c, name: d.withColumn(name, outliers.absolute_limits(c, 2, 60))).keep()
+    return screening.finished(s, 3600, tags={"freq": "hourly"})
