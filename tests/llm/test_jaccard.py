@@ -72,3 +72,28 @@ def test_empty_table_and_null_ids(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (None, "q r s t u"), (7, "a b c d e")]
     got = sorted([(r.doc_id or -1, r.component_id or -1) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte: one word, a near copy of 200 000 words, one that is just too far, one word repeated."""
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+
+    def changed(n):
+        out = list(w)
+        for i in rng.sample(range(len(w)), n):
+            out[i] = f"x{i}"
+        return " ".join(out)
+
+    rows = [(1, " ".join(w)), (2, changed(2000)), (3, changed(12_000)), (4, "y" * 1_000_000), (5, "z " * 500_000)]
+    got = {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 4, 85, 100).items()} and got[2] == 1 and got[3] == 3
+
+
+def test_hot_token(spark, monkeypatch):
+    """A token that many sets share is met by broadcast hubs; the result is that of the other way."""
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    monkeypatch.setattr(jaccard, "HUBS", 3)
+    rows = corpus(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85, 100)

@@ -78,3 +78,14 @@ def test_mix_counts_rows_of_one_doc_id_apart(spark):
         taken = [r.taken for r in got if r.source == source]
         assert abs(sum(taken) - target) <= 4 * 64 and all(0 < t <= 200 for t in taken)
     assert abs(sum(r.taken for r in got) - 60_000) <= 600
+
+
+def test_very_long_texts_pass_through(spark):
+    """A megabyte of words, of one word, and of lines, through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["the cat and the dog " * 60_000, "k" * 1_000_000, "a line of it\n" * 80_000, "the house and the garden of the old man"]
+    d = spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "language_id":
+            assert {r.doc_id for r in stage(spark, d, SF).select("doc_id").collect()} <= {0, 1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, SF).select("doc_id").collect()} == {0, 1, 2, 3}
