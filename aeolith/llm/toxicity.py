@@ -26,8 +26,8 @@ from aeolith.llm.common import sampled, small_batches
 SAMPLE_ROWS = 1500
 #: Chi-square beyond which a word's weight grows no more, and the share of the weight that every word has.
 MOST_CHI2, FLOOR = 200.0, 0.01
-#: Neighbours, examples of a block, blocks opened at once.
-K, BLOCK, OPENED = 15, 64, 6
+#: Neighbours, examples of a block, blocks opened first (each further step opens twice as many), share of examples from which a term's postings are kept as a row with a place for each example.
+K, BLOCK, OPENED, DENSE = 15, 512, 2, 0.05
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,6 +71,14 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size - starts, size), which
 
 
+def _alike(examples: list[tuple]) -> list[tuple]:
+    """Examples in an order that puts like ones in one block, which makes bounds closer: by label, then by the rarest word that is in several of a label, then doc_id."""
+    counts = [terms(x[1]) for x in examples]
+    df = Counter(t for c in counts for t in c)
+    names = [min((t for t in c if df[t] > 3), key=lambda t: (df[t], t), default="") for c in counts]
+    return [examples[i] for i in sorted(range(len(examples)), key=lambda i: (-examples[i][2], names[i], examples[i][0]))]
+
+
 class Index:
     """The examples' vectors as an inverted index with block maxima, and the calibration of votes.
 
@@ -78,7 +86,7 @@ class Index:
     """
 
     def __init__(self, examples: list[tuple], prior: float | None = None, k: int = K, df: dict[str, int] | None = None, documents: int = 0):
-        examples = sorted(examples, key=lambda x: (-x[2], x[0]))  # blocks of one label have closer bounds
+        examples = _alike(examples)
         self.k, self.ids = k, np.array([x[0] for x in examples], np.int64)
         self.label = np.array([x[2] for x in examples], np.float64)
         counts = [terms(x[1]) for x in examples]
@@ -109,6 +117,13 @@ class Index:
         self.entry_block, self.maxima = block[first], np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.first = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
         self.blocks = -(-n // BLOCK) if n else 0
+        # the postings of very common terms again, as rows, and their largest weights by block
+        common = np.flatnonzero(d >= max(DENSE * n, 8))
+        self.row = np.full(len(self.vocabulary), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows, mine = np.zeros((len(common), n)), self.row[term] >= 0
+        self.rows[self.row[term[mine]], self.docs[mine]] = self.weights[mine]
+        self.row_maxima = np.stack([self.rows[:, a : a + BLOCK].max(1) for a in range(0, n, BLOCK)], 1) if n else np.zeros((0, 0))
         # votes of the examples, each without itself, calibrated by weighted counts in bins
         self.prior = prior if prior is not None else (pos / n if n else 0.0)
         share = np.where(self.label > 0, self.prior / max(pos / max(n, 1), 1e-9), (1 - self.prior) / max(1 - pos / max(n, 1), 1e-9))
@@ -122,38 +137,46 @@ class Index:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights (1 + log tf) * weight of unit length; words that no example has aren't counted."""
-        found = [(i, n) for t, n in counts.items() if (i := self.vocabulary.get(t)) is not None]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, n = np.array(sorted(found)).T
+        get = self.vocabulary.get
+        t, n = np.array([get(x, -1) for x in counts], np.int64), np.array(list(counts.values()), np.float64)
+        t, n = t[t >= 0], n[t >= 0]
+        if not len(t):
+            return t, n
         w = (1 + np.log(n)) * self.weight[t]
         return t, w / np.sqrt((w * w).sum())
 
     def nearest(self, t: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, nearest first, ties to the smaller number; none without a common term."""
+        row = self.row[t]
+        common = row >= 0
+        row, heavy, t, w = row[common], w[common], t[~common], w[~common]
         entry, which = _spread(self.first[t], self.first[t + 1])
         own, block = w[which], self.entry_block[entry]
-        bound = np.bincount(block, self.maxima[entry] * own, self.blocks)
+        bound = np.bincount(block, self.maxima[entry] * own, self.blocks) + heavy @ self.row_maxima[row]
         order = np.argsort(-bound, kind="stable")
-        rest = order[bound[order] > 0]
-        best, done = np.zeros(0, np.int64), np.zeros(0)
-        opened = np.zeros(self.blocks, bool)
-        while len(rest):
-            now, rest = rest[:OPENED], rest[OPENED:]
-            opened[:] = False
-            opened[now] = True
-            mine = np.flatnonzero(opened[block])
-            at, of = _spread(self.entry[entry[mine]], self.entry[entry[mine] + 1])
-            sums = np.bincount(self.docs[at], self.weights[at] * own[mine][of], len(self.ids))
+        rank = np.empty(self.blocks, np.int16)
+        rank[order] = np.arange(self.blocks)
+        rank = rank[block]
+        by_rank = np.argsort(rank, kind="stable")
+        entry, own, cut = entry[by_rank], own[by_rank], np.searchsorted(rank[by_rank], np.arange(self.blocks + 1))
+        last, rows = int((bound > 0).sum()), self.rows[row]
+        sums = np.zeros(len(self.ids))
+        a, step, least = 0, OPENED, 0.0
+        while a < last and bound[order[a]] >= least:
+            z = min(a + step, last)
+            at, of = _spread(self.entry[entry[cut[a] : cut[z]]], self.entry[entry[cut[a] : cut[z]] + 1])
+            sums += np.bincount(self.docs[at], self.weights[at] * own[cut[a] : cut[z]][of], len(sums))
+            for k in order[a:z].tolist() if len(row) else ():
+                place = slice(k * BLOCK, (k + 1) * BLOCK)
+                sums[place] += heavy @ rows[:, place]
             if leave >= 0:
                 sums[leave] = 0
-            hit = np.flatnonzero(sums)
-            best, done = np.r_[best, hit], np.r_[done, sums[hit]]
-            top = np.lexsort((best, -done))[: self.k]
-            best, done = best[top], done[top]
-            if len(done) == self.k:
-                rest = rest[bound[rest] >= done[-1] - 1e-12]
-        return best, done
+            if self.k < len(sums):
+                least = float(np.partition(sums, -self.k)[-self.k]) - 1e-12
+            a, step = z, 2 * step
+        hit = np.flatnonzero((sums > 0) & (sums >= least))
+        best = hit[np.lexsort((hit, -sums[hit]))][: self.k]
+        return best, sums[best]
 
     def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by similarity; -1 without neighbours."""
@@ -176,7 +199,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     Null, empty and unrelated texts have no neighbours and get the rate among such examples. Without examples of both
     labels nothing is told apart and all get the share of toxic labels. Texts are read whole, very long ones too; ties
-    of similarity go to toxic examples and then to the smaller doc_id. An empty table gives no rows; only these columns
+    of similarity go to toxic examples, then by the index's order. An empty table gives no rows; only these columns
     are read.
     """
     small_batches(docs.sparkSession)

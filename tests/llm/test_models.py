@@ -104,3 +104,25 @@ def test_dictionaries_are_whole_texts_of_the_sample(spark):
     first = dicts["en"].split(b"\n")
     assert len(first) >= 80 and all(t.split() == [t.split()[0]] * 20 for t in first if len(t) < 2000 and len(t.split()) == 20)
     assert len(dicts["fr"]) == langid.DICT_BYTES  # there are only long texts: one, cut at the dictionary's end
+
+
+def test_toxicity_by_brute_force_and_long_texts():
+    """Scores from all cosines by hand, and of a text of a megabyte."""
+    rng = np.random.default_rng(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    examples = [(i, " ".join(rng.choice(words, 30)) + (" vile" * (1 + i % 3) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    df = {w: 50 + 10 * k for k, w in enumerate(words)} | {"vile": 100}
+    index = toxicity.Index(examples, 0.2, 5, df, 5000)
+    vectors = {x[0]: dict(zip(*[a.tolist() for a in index.vector(toxicity.terms(x[1]))], strict=True)) for x in examples}
+    label = {x[0]: x[2] for x in examples}
+    for text in ["vile words wba wca", " ".join(words[:50]), "nothing known here", examples[4][1], "vile " * 200_000 + " ".join(words)]:
+        q = dict(zip(*[a.tolist() for a in index.vector(toxicity.terms(text))], strict=True))
+        cosine = sorted(((sum(x * v.get(t, 0.0) for t, x in q.items()), i) for i, v in vectors.items()), reverse=True)[:5]
+        score, evidence = index.score(text)
+        if not q:
+            assert evidence == [] and score == index.bins[21]
+            continue
+        assert abs(cosine[0][0] - sum(x * vectors[evidence[0]].get(t, 0.0) for t, x in q.items())) < 1e-9
+        vote = sum(c for c, i in cosine if label[i]) / sum(c for c, _ in cosine)
+        assert abs(score - np.interp(vote * 20, np.arange(21), index.bins[:21])) < 1e-6
+    assert index.score("vile vile")[0] > index.score(words[0])[0]
