@@ -1,16 +1,22 @@
 """What drives a variable: a tree model's scores, importances by Shapley sampling, lags, scales, regimes and windows, and local effects.
 
-Importances need no model internals: rows meet the values of other rows, and the model is asked again, where the data
-are. A row's partner comes from its own bucket of rows, so nothing is shuffled as a whole or collected.
+For importances rows meet the values of other rows, and the model is asked again, where the data are. A row's partner
+comes from its own bucket of rows, so nothing is collected. A model of trees is constant in each cell between its
+thresholds; with few cells the answers are looked up, else the model itself is asked.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ from aeolith.operators import fits
 
 #: Rows of a bucket in which partners are found.
 BUCKET_ROWS = 4096
+#: Cells between a model's thresholds up to which its answers are looked up.
+GRID_CELLS = 1 << 22
 
 
 def _model(kind: str, seed: int):
@@ -42,6 +50,59 @@ def _with_partner(d: DataFrame, names: list[str], seed: int) -> DataFrame:
     return d.withColumn("_b", F.coalesce(F.lead("_own").over(w), F.first("_own").over(w))).drop("_h", "_k")
 
 
+def _grid(model, n: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """The thresholds of each of n drivers and the model's answers in all cells between them; None beyond GRID_CELLS and for other models."""
+    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+
+    if not isinstance(model, GBTRegressionModel | RandomForestRegressionModel):
+        return None
+    # in order of depth first: a tree's weight, then of each node a feature and threshold with what lies below, an Else with the rest, or a leaf's value
+    found = re.findall(r"Tree \d+ \(weight (\S+)\):|If \(feature (\d+) <= (\S+)\)|Predict: (\S+)", model.toDebugString)
+    splits = [sorted({float(t) for _, f, t, _ in found if f and int(f) == i}) for i in range(n)]
+    shape = [len(x) + 1 for x in splits]
+    if math.prod(shape) > GRID_CELLS:
+        return None
+    place = [{t: j for j, t in enumerate(x)} for x in splits]
+    nodes, total, tree = iter(found), np.zeros(shape), np.empty(shape)
+
+    def fill(box: tuple[slice, ...]) -> None:
+        _, f, t, leaf = next(nodes)
+        if leaf:
+            tree[box] = float(leaf)
+            return
+        i = int(f)
+        at = place[i][float(t)] + 1
+        fill((*box[:i], slice(box[i].start, min(at, box[i].stop)), *box[i + 1 :]))
+        fill((*box[:i], slice(max(at, box[i].start), box[i].stop), *box[i + 1 :]))
+
+    for weight, *_ in nodes:
+        fill(tuple(slice(0, k) for k in shape))
+        total += float(weight) * tree
+    return [np.array(x) for x in splits], total / (model.getNumTrees if isinstance(model, RandomForestRegressionModel) else 1)
+
+
+def _shapley(grid: tuple[list[np.ndarray], np.ndarray], asks: list[tuple[int, ...]], gains: np.ndarray):
+    """Batches of _own and _b to sums of absolute values by driver and the number of rows; asks: drivers that take a row's own values; gains: what each ask adds to each driver."""
+    splits, table = grid
+    n, strides = len(splits), [math.prod(table.shape[i + 1 :]) for i in range(len(splits))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, sums, rows = table.ravel(), np.zeros(n), 0
+        for b in batches:
+            own, other = ([np.searchsorted(t, x) * s for t, x, s in zip(splits, b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).T, strides, strict=True)] for c in (0, 1))
+            start, step = sum(other), [x - y for x, y in zip(own, other, strict=True)]
+            phi = np.zeros((n, b.num_rows))
+            for ask, gain in zip(asks, gains, strict=True):
+                p = answers[sum((step[i] for i in ask), start)]
+                for i in np.flatnonzero(gain):
+                    phi[i] += gain[i] * p
+            sums += np.abs(phi).sum(1)
+            rows += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([rows], pa.int64())], ["sums", "rows"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Result:
     """What an analysis has found, as far as it was asked: small tables by name."""
@@ -90,22 +151,25 @@ class Drivers:
     def importance(self, df: DataFrame | None = None, model=None, names: list[str] | None = None, orders: int = 8) -> DataFrame:
         """(driver, importance, rank): means of absolute Shapley values, each sampled over orders in which drivers take a row's values in place of its partner's."""
         names, model = names or self.names, model or self.model
-        d = _with_partner(self._known(df).select("_y", *names), names, self.seed).withColumn("_id", F.monotonically_increasing_id())
+        n, d = len(names), _with_partner(self._known(df).select("_y", *names), names, self.seed)
         rng = random.Random(self.seed)
-        ways = [rng.sample(range(len(names)), len(names)) for _ in range(orders)]
-        steps = []
+        ways = [rng.sample(range(n), n) for _ in range(orders)]
+        # orders share what they ask: a set of drivers is asked for once, its gains are added up
+        gains: dict[tuple[int, ...], np.ndarray] = {}
         for way in ways:
-            for k in range(len(names) + 1):
-                mine = set(way[:k])
-                vector = F.array(*[F.col("_own")[i] if i in mine else F.col("_b")[i] for i in range(len(names))])
-                gains = F.array(*[F.lit(float((i == way[k - 1]) if k else 0) - float((i == way[k]) if k < len(way) else 0)) for i in range(len(names))])
-                steps.append(F.struct(vector.alias("v"), gains.alias("g")))
-        from pyspark.ml.functions import array_to_vector
+            for k, i in enumerate(way):
+                for mine, sign in ((way[: k + 1], 1 / orders), (way[:k], -1 / orders)):
+                    gains.setdefault(tuple(sorted(mine)), np.zeros(n))[i] += sign
+        if grid := _grid(model, n):
+            found = d.select("_own", "_b").mapInArrow(_shapley(grid, list(gains), np.array(list(gains.values()))), "sums array<double>, rows long")
+            total = found.agg(*[F.try_divide(F.sum(F.col("sums")[i]), F.sum("rows")).alias(f"_{i}") for i in range(n)])
+        else:
+            from pyspark.ml.functions import array_to_vector
 
-        asked = d.select("_own", "_b", F.explode(F.array(*steps)).alias("s"), "_id").select("_id", array_to_vector("s.v").alias("_x"), "s.g")
-        phi = model.transform(asked).groupBy("_id").agg(*[F.avg(F.col("_p") * F.col("g")[i]).alias(f"_{i}") for i in range(len(names))])
-        scale = len(names) + 1  # each order asks so many times; the mean over all is the sum over an order divided by it
-        total = phi.agg(*[(F.avg(F.abs(F.col(f"_{i}"))) * scale).alias(f"_{i}") for i in range(len(names))])
+            steps = [F.struct(F.array(*[F.col("_own")[i] if i in mine else F.col("_b")[i] for i in range(n)]).alias("v"), F.array(*[F.lit(float(x)) for x in gain]).alias("g")) for mine, gain in gains.items()]
+            asked = d.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.explode(F.array(*steps)).alias("s")).select("_id", array_to_vector("s.v").alias("_x"), "s.g")
+            phi = model.transform(asked).groupBy("_id").agg(*[F.sum(F.col("_p") * F.col("g")[i]).alias(f"_{i}") for i in range(n)])
+            total = phi.agg(*[F.avg(F.abs(F.col(f"_{i}"))).alias(f"_{i}") for i in range(n)])
         long = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("driver"), F.col(f"_{i}").alias("importance")) for i, c in enumerate(names)])).alias("s")).select("s.*")
         return long.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "driver")))
 
@@ -113,6 +177,8 @@ class Drivers:
         """Importances beside that of a driver of random numbers: relevant are those above it."""
         d = self._known().withColumn("_random", F.pmod(F.xxhash64(self.ts, F.lit(self.seed)), F.lit(1_000_003)) / 1_000_003)
         names = [*self.names, "_random"]
+        if d.isEmpty():
+            raise ValueError("no complete records to learn from")
         model = _model(self.kind, self.seed).fit(_vector(d, names))
         t = self.importance(d, model, names)
         noise = t.where("driver = '_random'").select(F.col("importance").alias("_n"))
@@ -228,8 +294,6 @@ def local_effects(model, d: DataFrame, names: list[str], name: str, bins: int =
 
 def local_effects_2d(model, d: DataFrame, names: list[str], first: str, second: str, bins: int = 10) -> DataFrame:
     """(x, y, effect): what two drivers do together beyond what each does alone, at the corners of their quantile cells."""
-    import numpy as np
-
     xe, ye = _edges(d, first, bins), _edges(d, second, bins)
     if len(xe) < 2 or len(ye) < 2:
         raise ValueError(f"{first} or {second} is constant")

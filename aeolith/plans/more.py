@@ -293,7 +293,7 @@ def radiation_filling(spark, sf_dir):
 
 def _analysis(spark: SparkSession, sf_dir: str) -> drivers.Drivers:
     d = lines(spark, sf_dir).select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").cast("double").alias("quantity"), "l_discount", "l_tax", F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), F.lit("a").alias("k"), "l_returnflag")
-    return drivers.Drivers(d, "y", ["quantity", "l_discount", "l_tax"]).fit()
+    return drivers.Drivers(d, "y", ["quantity", "l_discount", "l_tax"])
 
 
 @query()
@@ -303,12 +303,12 @@ def driver_importance(spark, sf_dir):
 
 @query()
 def local_effects(spark, sf_dir):
-    return _analysis(spark, sf_dir).effects("quantity", 10)
+    return _analysis(spark, sf_dir).fit().effects("quantity", 10)
 
 
 @query()
 def local_effects_2d(spark, sf_dir):
-    return _analysis(spark, sf_dir).effects_2d("quantity", "l_discount", 5)
+    return _analysis(spark, sf_dir).fit().effects_2d("quantity", "l_discount", 5)
 
 
 @query(f"""{S}, d AS (SELECT k, ts, v, {TA} AS t FROM s), p AS (SELECT k, CAST(ts AS DATE) AS day, count(*) AS n, round(corr(v, t), 9) AS r FROM d WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 2)
