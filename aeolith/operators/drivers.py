@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolith.operators import fits
+from aeolith.operators import fits, forests
+from aeolith.operators.forests import Grid
 
 #: Rows of a bucket in which partners are found.
 BUCKET_ROWS = 4096
@@ -50,7 +51,7 @@ def _with_partner(d: DataFrame, names: list[str], seed: int) -> DataFrame:
     return d.withColumn("_b", F.coalesce(F.lead("_own").over(w), F.first("_own").over(w))).drop("_h", "_k")
 
 
-def _grid(model, n: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+def _grid(model, n: int) -> Grid | None:
     """The thresholds of each of n drivers and the model's answers in all cells between them; None beyond GRID_CELLS and for other models."""
     from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 
@@ -78,12 +79,12 @@ def _grid(model, n: int) -> tuple[list[np.ndarray], np.ndarray] | None:
     for weight, *_ in nodes:
         fill(tuple(slice(0, k) for k in shape))
         total += float(weight) * tree
-    return [np.array(x) for x in splits], total / (model.getNumTrees if isinstance(model, RandomForestRegressionModel) else 1)
+    return Grid([np.array(x) for x in splits], total / (model.getNumTrees if isinstance(model, RandomForestRegressionModel) else 1))
 
 
-def _shapley(grid: tuple[list[np.ndarray], np.ndarray], asks: list[tuple[int, ...]], gains: np.ndarray):
+def _shapley(grid: Grid, asks: list[tuple[int, ...]], gains: np.ndarray):
     """Batches of _own and _b to sums of absolute values by driver and the number of rows; asks: drivers that take a row's own values; gains: what each ask adds to each driver."""
-    splits, table = grid
+    splits, table = grid.splits, grid.table
     n, strides = len(splits), [math.prod(table.shape[i + 1 :]) for i in range(len(splits))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ class Drivers:
             for k, i in enumerate(way):
                 for mine, sign in ((way[: k + 1], 1 / orders), (way[:k], -1 / orders)):
                     gains.setdefault(tuple(sorted(mine)), np.zeros(n))[i] += sign
-        if grid := _grid(model, n):
+        if grid := model if isinstance(model, Grid) else _grid(model, n):
             found = d.select("_own", "_b").mapInArrow(_shapley(grid, list(gains), np.array(list(gains.values()))), "sums array<double>, rows long")
             total = found.agg(*[F.try_divide(F.sum(F.col("sums")[i]), F.sum("rows")).alias(f"_{i}") for i in range(n)])
         else:
@@ -179,7 +180,7 @@ class Drivers:
         names = [*self.names, "_random"]
         if d.isEmpty():
             raise ValueError("no complete records to learn from")
-        model = _model(self.kind, self.seed).fit(_vector(d, names))
+        model = (forests.coarse_forest(d, names, self.seed) if self.kind == "rf" else None) or _model(self.kind, self.seed).fit(_vector(d, names))
         t = self.importance(d, model, names)
         noise = t.where("driver = '_random'").select(F.col("importance").alias("_n"))
         return self._with("shap", t.crossJoin(F.broadcast(noise)).where("driver <> '_random'").withColumn("relevant", F.col("importance") > F.col("_n")).drop("_n"))
